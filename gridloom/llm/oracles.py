@@ -29,7 +29,7 @@ m AS (SELECT d.rid, doc_id, len(ws) AS n_words,
   length(regexp_replace(t, '{SPACES}', '', 'g')) AS word_chars,
   {removed('#*$%&|<>')} AS n_symbols, coalesce(lines.dup, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
   coalesce(lines.n, 0) AS n_lines, {removed('!?')} AS n_marks, {removed('ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÀÂÇÉÈÊËÎÏÔÙÛÑÁÍÓÚ')} AS n_upper, {removed('0123456789')} AS n_digits,
-  len(list_filter(ws, lambda x: lower(translate(x, '.,;:!?', '')) IN ({stops}))) AS n_stop,
+  len(list_filter(ws, lambda x: lower(rtrim(x, '.,;:!?')) IN ({stops}))) AS n_stop,
   len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_next_same
   FROM d LEFT JOIN covered USING (rid) LEFT JOIN lines USING (rid)),
 r AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,

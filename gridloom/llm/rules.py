@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import SPACE
 
-WINDOW = 8
+WINDOW = 8  # a power of two
+WORD = r"[^\x20\x09-\x0D]"
+UPPER = "A-ZÄÖÜÀÂÇÉÈÊËÎÏÔÙÛÑÁÍÓÚ"
+MARKS = ".,;:!?"
 
 
 class Rule(NamedTuple):
@@ -58,9 +61,9 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def removed(text: Column, chars: str) -> Column:
-    """How many of chars the text has."""
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("long")
+def count_of(text: Column, chars: str) -> Column:
+    """How many characters of a regex class the text has."""
+    return (F.size(F.split(text, f"[{chars}]", -1)) - 1).cast("long")
 
 
 def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,14 +73,14 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Only texts that have a repeat sort their windows: equal ones are then
     neighbours, and a word counts for the first window that covers it.
     """
-    ascii_space = "".join(map(chr, (0x20, 9, 10, 11, 12, 13)))
     out = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     out = out.withColumn("words", F.array_remove(F.split("text", SPACE + "+"), ""))
-    out = out.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: F.length(F.translate(x, ascii_space, "")) > 0))
-    # window i hashes words i .. i+7; the text's windows are hashed once, in one pass
+    out = out.withColumn("lines", F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)))
     out = out.withColumn("__h", F.transform("words", lambda w: F.xxhash64(w)))
-    at = ", ".join(f"__h[i + {k}]" for k in range(WINDOW))
-    out = out.withColumn("__w", F.expr(f"CASE WHEN size(words) < {WINDOW} THEN array() ELSE transform(sequence(0, size(words) - {WINDOW}), i -> xxhash64({at})) END"))
+    # hashes of 2, 4 and 8 words from here on, each from two of half the length; lambdas name no outer column, which could be inlined and evaluated per element
+    for half, (new, old) in ((1, ("__h2", "__h")), (2, ("__h4", "__h2")), (4, ("__h8", "__h4"))):
+        out = out.withColumn(new, F.zip_with(old, F.slice(old, half + 1, F.size(old)), lambda x, y: F.xxhash64(x, y)))
+    out = out.withColumn("__w", F.slice("__h8", 1, F.greatest(F.size("words") - (WINDOW - 1), F.lit(0))))
     # (hash, position) sorted: a window repeats if a neighbour has its hash
     pairs = "array_sort(transform(__w, (h, i) -> struct(h, i)))"
     out = out.withColumn("__s", F.expr(f"CASE WHEN size(array_distinct(__w)) < size(__w) THEN {pairs} END"))
@@ -85,21 +88,19 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     out = out.withColumn("__r", F.expr(f"array_sort(transform(filter(__s, (p, i) -> {again}), p -> p.i))"))
     covered = f"aggregate(__r, struct(0L AS n, 0 AS till), (a, i) -> struct(a.n + (i + {WINDOW} - greatest(i, a.till)) AS n, i + {WINDOW} AS till), a -> a.n)"
     size = F.size("words").cast("long")
-    word_chars = F.length(F.translate("text", ascii_space, "")).cast("long")
-    stops = F.array(*map(F.lit, ALL_STOP_WORDS))
     return out.select(
         "id",
         size.alias("n_words"),
-        word_chars.alias("word_chars"),
-        removed(F.col("text"), "#*$%&|<>").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        count_of(F.col("text"), "#*$%&|<>").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.expr(covered), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
-        removed(F.col("text"), "!?").alias("n_marks"),
-        removed(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÀÂÇÉÈÊËÎÏÔÙÛÑÁÍÓÚ").alias("n_upper"),
-        removed(F.col("text"), "0123456789").alias("n_digits"),
-        F.size(F.filter("words", lambda w: F.array_contains(stops, F.lower(F.translate(w, ".,;:!?", ""))))).cast("long").alias("n_stop"),
-        F.size(F.filter("__h", lambda h, i: (i > 0) & (h == F.col("__h")[i - 1]))).cast("long").alias("n_next_same"),
+        count_of(F.col("text"), "!?").alias("n_marks"),
+        count_of(F.col("text"), UPPER).alias("n_upper"),
+        count_of(F.col("text"), "0-9").alias("n_digits"),
+        F.size(F.filter("words", lambda w: F.lower(F.rtrim(w, F.lit(MARKS))).isin(ALL_STOP_WORDS))).cast("long").alias("n_stop"),
+        F.size(F.filter(F.zip_with("__h", F.slice("__h", 2, F.size("__h")), lambda x, y: x == y), lambda x: x)).cast("long").alias("n_next_same"),
     )
 
 
