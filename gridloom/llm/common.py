@@ -80,3 +80,13 @@ def number_within(df: DataFrame, group: str, order: list[str], bucket: str, out:
     offsets = counts.select(group, bucket, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     at = F.row_number().over(Window.partitionBy(group, bucket).orderBy(*order))
     return df.withColumn("__at", at).join(offsets, [group, bucket]).withColumn(out, F.col("__base") + F.col("__at") - 1).drop("__at", "__base")
+
+
+def sample_rows(df: DataFrame, n: int, id_col: str, seed: str) -> DataFrame:
+    """At most n rows: those whose id has the lowest seeded hash, the same in every run.
+
+    Only hashes are sorted; the rows themselves move once they are chosen.
+    """
+    h = F.xxhash64(F.lit(seed), F.col(id_col))
+    cut = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return df.where(h <= F.lit(cut)).limit(n)

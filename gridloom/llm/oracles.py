@@ -57,4 +57,22 @@ k AS (SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM k
 """
 
-ORACLES: dict[str, str] = {"op9_rules": rules_sql(), "op10_mixing": MIXING}
+TOPK = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+# SHA-1 in base32: the hex digits' bits in groups of five
+WARC = """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+b AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + CAST((('0x' || substr(h, 1 + CAST(i * 5 // 4 AS INTEGER), 1))::INTEGER * 16 + ('0x' || substr(h || '0', 2 + CAST(i * 5 // 4 AS INTEGER), 1))::INTEGER) // CAST(pow(2, 3 - (i * 5) % 4) AS INTEGER) % 32 AS INTEGER), 1)), '') AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM b)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < last THEN last END AS refers_to, TRUE AS intact FROM m
+"""
+
+ORACLES: dict[str, str] = {"op5_warc": WARC, "op6_topk": TOPK, "op9_rules": rules_sql(), "op10_mixing": MIXING}

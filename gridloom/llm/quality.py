@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, sample_rows
 
 DIM = 1 << 14
 #: Bytes by shape: letters a or A, digits 0, bytes of other scripts a, white space one space, marks as they are.
@@ -179,7 +179,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_do
         cols = [[votes(s) for s, _ in rows], [a.tolist() for a, _ in parts], [x.tolist() for _, x in parts]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float32())), strict=True)], ["v", "at", "x"])
 
-    chosen = source(df, id_col, text_col).orderBy(F.xxhash64(F.lit("quality"), "id"), "text").limit(sample_docs)
+    chosen = sample_rows(source(df, id_col, text_col), sample_docs, "id", "quality")
     rows = map_arrow(chosen, each, "v array<int>, at array<int>, x array<float>").collect()
     if not rows:
         return QualityModel(labels, Scorer(np.zeros(DIM + 1, dtype=np.float32)))

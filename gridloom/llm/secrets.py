@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, sample_rows
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -172,7 +172,7 @@ def training_samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.string()), pa.array([r for _, r in out], pa.bool_())], ["s", "random"])
 
     chosen = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    chosen = chosen.orderBy(F.xxhash64("id"), "text").limit(sample_docs).select("text")
+    chosen = sample_rows(chosen, sample_docs, "id", "secrets").select("text")
     got = sorted((x.s, x.random) for x in map_arrow(chosen, tokens, "s string, random boolean").collect())
     words = [s for s, is_random in got if not is_random and s.isalpha()]
     r = random.Random(11)
