@@ -90,3 +90,23 @@ def sample_rows(df: DataFrame, n: int, id_col: str, seed: str) -> DataFrame:
     h = F.xxhash64(F.lit(seed), F.col(id_col))
     cut = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
     return df.where(h <= F.lit(cut)).limit(n)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def map_rows(df: DataFrame, f: Callable[[pa.RecordBatch, pa.Array], pa.RecordBatch], text_col: str) -> DataFrame:
+    """mapInArrow over whole rows: f gets a batch and its texts, and returns a batch of the same columns."""
+    at = [c.lower() for c in df.columns].index(text_col.lower())
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield f(b, b.column(at))
+
+    return df.mapInArrow(each, df.schema)

@@ -63,15 +63,26 @@ def copies(rate: Column, draw: Column) -> Column:
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **how) -> DataFrame:
-    """Per input row: id, source, size, source_size, target, rate and the number of copies the mix takes.
+def rated(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, **how) -> DataFrame:
+    """(row, id, source, size, source_size, target, rate, copies): row is the input row as a struct.
 
     The rates are written first and counted: up to ``BROADCAST_SOURCES`` of them are
     broadcast, more are joined by a shuffle, whose hot keys adaptive execution splits.
     """
-    sized = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"))
+    sized = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size_of(F.col(text_col).cast("string")).alias("size"))
     rates = materialize(source_rates(sized, **how).withColumnRenamed("source", "__source"), "rates")
     rates = F.broadcast(rates) if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else rates
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     out = sized.join(rates, F.col("source").eqNullSafe(F.col("__source"))).withColumn("rate", rate)
-    return out.select("id", "source", "size", "source_size", "target", "rate", copies(F.col("rate"), uniform(seed, F.col("id"))).alias("copies"))
+    return out.select("row", "id", "source", "size", "source_size", "target", "rate", copies(F.col("rate"), uniform(seed, F.col("id"))).alias("copies"))
+
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **how) -> DataFrame:
+    """Per input row: id, source, size, source_size, target, rate and the number of copies the mix takes."""
+    return rated(df, id_col, text_col, source_col, seed, **how).drop("row")
+
+
+def emit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **how) -> DataFrame:
+    """The mix itself: df's rows with all their columns, each as often as the mix takes it."""
+    taken = rated(df, id_col, text_col, source_col, seed, **how).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

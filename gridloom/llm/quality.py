@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, sample_rows
+from .common import map_arrow, map_rows, sample_rows
 
 DIM = 1 << 14
 #: Bytes by shape: letters a or A, digits 0, bytes of other scripts a, white space one space, marks as they are.
@@ -200,3 +200,12 @@ def classify(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_co
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(weak), pa.array(score >= threshold)], ["id", "score", "weak_label", "kept"])
 
     return map_arrow(source(df, id_col, text_col), each, SCHEMA)
+
+
+def keep_good(df: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of df that ``classify`` keeps, with all their columns."""
+
+    def each(b: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
+        return b.filter(pa.array([model.scorer.score(*features(*statistics(t))) >= threshold for t in texts.to_pylist()], pa.bool_()))
+
+    return map_rows(df, each, text_col)

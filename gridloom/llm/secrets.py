@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, sample_rows
+from .common import map_arrow, map_rows, sample_rows
 
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -187,3 +187,16 @@ def fit_model(df: DataFrame, **how) -> MarkovModel:
     """Train both Markov models on ``training_samples(df, **how)``."""
     return MarkovModel.fit(training_samples(df, **how))
 
+
+
+def redact(df: DataFrame, model: MarkovModel | None, text_col: str = "text", threshold: float = 24.0) -> DataFrame:
+    """df with every span in its text replaced by ``[SECRET]``; other columns stay."""
+
+    def each(b: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
+        new = [mask(t, scan_text(t, model, threshold)[1]) if t else t for t in texts.to_pylist()]
+        at = [n.lower() for n in b.schema.names].index(text_col.lower())
+        cols = list(b.columns)
+        cols[at] = pa.array(new, b.schema.field(at).type)
+        return pa.RecordBatch.from_arrays(cols, b.schema.names)
+
+    return map_rows(df, each, text_col)

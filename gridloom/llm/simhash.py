@@ -21,15 +21,17 @@ rows stay; extra columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import map_arrow, materialize
+from .common import fresh, map_arrow, materialize
 from .components import connected_components
 
 DISTANCE = 4
@@ -123,12 +125,38 @@ def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     return pairs.union(stars.select(F.explode("xs").alias("u"), "v").where("u <> v").distinct())
 
 
+def component_roots(fps: DataFrame, hot: int = HOT) -> DataFrame:
+    """(fp, root) for every distinct fingerprint of the column fp; root is one fingerprint of the component."""
+    nodes = materialize(fps.select("fp").distinct(), "nodes")
+    roots = connected_components(links(nodes, hot))
+    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """(id, fp, component): one row per input row, component the smallest id linked to it over any number of links."""
     docs = materialize(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    nodes = materialize(docs.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    roots = connected_components(links(nodes.select("fp"), hot))
-    rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = rooted.join(least, "root").select("fp", "component")
-    return docs.join(materialize(named, "named"), "fp").select("id", "fp", "component")
+    roots = materialize(component_roots(docs, hot), "roots")
+    first = docs.groupBy("fp").agg(F.min("id").alias("first"))
+    least = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("component"))
+    named = materialize(roots.join(least, "root").select("fp", "component"), "named")
+    return docs.join(named, "fp").select("id", "fp", "component")
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
+    """df's rows with all their columns, one row of each component: that of the smallest id (null last), or any of them."""
+    row, fp = fresh(df, "row"), fresh(df, "fp")
+    wide = T.StructType([*df.schema.fields, T.StructField(fp, T.LongType())])
+    at = [c.lower() for c in df.columns].index(text_col.lower())
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = np.array([fingerprint(t, shingle) for t in b.column(at).to_pylist()], dtype="<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64())], [*b.schema.names, fp])
+
+    # written once, so that a row keeps its number
+    rows = materialize(df.mapInArrow(each, wide).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    short = rows.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    roots = materialize(component_roots(short, hot), "roots")
+    first = short.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    stay = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return rows.join(materialize(stay, "stay"), row, "left_semi").select(df.columns)
