@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from .common import map_arrow, map_rows, sample_rows
 
 DIM = 1 << 14
+#: A labeller votes bad on this share of good documents at most. Faults hardly ever come together, so votes
+#: are dependent given bad; without the bound, good documents could take in one of the faults whole.
+FALSE_ALARM = 0.002
 #: Bytes by shape: letters a or A, digits 0, bytes of other scripts a, white space one space, marks as they are.
 SHAPE = bytes(range(256)).translate(bytes(
     ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("0") if 48 <= c <= 57 else 32 if c in (9, 10, 11, 12, 13, 32) else c
@@ -62,7 +65,7 @@ def votes(s: np.ndarray) -> list[int]:
         -1 if upper > 0.4 else 1 if upper < 0.12 else 0,
         -1 if pipes > 0.15 else 1 if pipes == 0 else 0,
         -1 if repeats > 0.25 else 1 if repeats < 0.08 else 0,
-        -1 if n >= 30 and distinct < 0.2 or dup_lines > 0.5 else 1 if dup_lines < 0.2 else 0,
+        -1 if n >= 30 and distinct < 0.2 or dup_lines > 0.5 else 1,
         -1 if n < 4 or mean_word > 20 else 1 if 3 <= mean_word <= 12 and n >= 10 else 0,
     ]
 
@@ -103,6 +106,10 @@ class LabelModel:
                 for k, w in ((1, q), (0, 1 - q)):
                     np.add.at(table[v, k], p[:, v] + 1, w * counts)
             table /= table.sum(2, keepdims=True)
+            # the constrained maximum: what stands above the bound goes to the other votes
+            low = np.minimum(table[:, 1, 0], FALSE_ALARM)
+            table[:, 1, 1:] *= ((1 - low) / (1 - table[:, 1, 0]))[:, None]
+            table[:, 1, 0] = low
             prior = float(np.clip((q * counts).sum() / max(1, counts.sum()), 0.01, 0.99)) if len(p) else 0.5
             model = LabelModel(prior, table)
             new = model.posterior(p)
@@ -140,8 +147,8 @@ class Scorer:
                 w[at] -= rate * step / np.sqrt(g2[at])
         return Scorer(w.astype(np.float32))
 
-    def score(self, at: np.ndarray, x: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.weights[at] @ x, -30, 30))))
+    def logit(self, at: np.ndarray, x: np.ndarray) -> float:
+        return float(np.clip(self.weights[at] @ x, -30, 30))
 
 
 def source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -164,9 +171,15 @@ def decode(pattern: int) -> list[int]:
 
 @dataclass(frozen=True)
 class QualityModel:
+    """The scorer is fitted with both classes weighing alike; the share of good documents comes back in here."""
+
     labels: LabelModel
     scorer: Scorer
 
+    def score(self, s: np.ndarray, shape: np.ndarray) -> float:
+        """P(good): the scorer's odds times the prior odds."""
+        return 1 / (1 + np.exp(-self.scorer.logit(*features(s, shape)) - np.log(self.labels.prior / (1 - self.labels.prior))))
+
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 4000) -> QualityModel:
     """Fit both models. ``sample_docs`` bounds the rows the scorer learns from: those of the lowest id hash."""
@@ -191,11 +204,11 @@ SCHEMA = "id long, score double, weak_label double, kept boolean"
 
 
 def classify(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(id, score, weak_label, kept) per row: the scorer's probability of good, the label model's, and score >= threshold."""
+    """(id, score, weak_label, kept) per row: the scorer's probability of good under the prior, the label model's, and score >= threshold."""
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = [statistics(t) for t in b.column(1).to_pylist()]
-        score = np.array([model.scorer.score(*features(*r)) for r in rows])
+        score = np.array([model.score(*r) for r in rows])
         weak = model.labels.posterior(np.array([votes(s) for s, _ in rows]))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array(weak), pa.array(score >= threshold)], ["id", "score", "weak_label", "kept"])
 
@@ -206,6 +219,6 @@ def keep_good(df: DataFrame, model: QualityModel, text_col: str = "text", thresh
     """The rows of df that ``classify`` keeps, with all their columns."""
 
     def each(b: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
-        return b.filter(pa.array([model.scorer.score(*features(*statistics(t))) >= threshold for t in texts.to_pylist()], pa.bool_()))
+        return b.filter(pa.array([model.score(*statistics(t)) >= threshold for t in texts.to_pylist()], pa.bool_()))
 
     return map_rows(df, each, text_col)
