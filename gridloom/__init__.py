@@ -1 +1 @@
-"""gridloom: weighted two-dimensional array streams on Spark."""
+"""Weighted two-dimensional array streams on Spark: grids, operators, pipelines, sources, sinks, streaming."""
