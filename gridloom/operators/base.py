@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import inspect
 from collections.abc import Callable, Iterator
 from typing import Any, ClassVar
@@ -20,6 +21,11 @@ def register(class_name: str, factory: Callable[[dict], Operator]) -> None:
     REGISTRY[class_name] = factory
 
 
+def field_names(op: Operator) -> list[str]:
+    """The parameters of an operator that is a dataclass."""
+    return [f.name for f in dataclasses.fields(op)] if dataclasses.is_dataclass(op) else []
+
+
 class Operator:
     """Abstract operator. Subclasses are dataclasses; their fields are their JSON keys.
 
@@ -61,7 +67,7 @@ class Operator:
         if not self.class_name:
             raise TypeError(f"{type(self).__name__} has no JSON form")
         out: dict[str, Any] = {"class_name": self.class_name}
-        for f in getattr(self, "__dataclass_fields__", {}):
+        for f in field_names(self):
             v = getattr(self, f)
             if f == "axis":
                 v = f"AXIS_{v.upper()}"
@@ -122,6 +128,6 @@ def describe(op: Operator) -> str:
     """The operator tree as indented lines."""
     lines = []
     for o, d in visit(op):
-        args = ", ".join(f"{k}={getattr(o, k)!r}" for k in getattr(o, "__dataclass_fields__", {}) if k not in ("elements", "sub_pipeline"))
+        args = ", ".join(f"{k}={getattr(o, k)!r}" for k in field_names(o) if k not in ("elements", "sub_pipeline"))
         lines.append(f"{'  ' * d}{o.class_name or type(o).__name__}({args})")
     return "\n".join(lines)

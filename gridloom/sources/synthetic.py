@@ -159,7 +159,7 @@ class NoiseStreamReader(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         end = min(start["t"] + self.batch.nt_chunk, self.batch.nt)
-        return self.rows(start["t"], end), {"t": end}
+        return iter(list(self.rows(start["t"], end))), {"t": end}  # a batch is kept and copied
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
         return self.rows(start["t"], end["t"])
