@@ -15,6 +15,8 @@ from ..functions.numbers import reldist
 from ..grid import Grid, GridMeta
 from .base import Operator
 
+#: Settings of configurations that say nothing about results here.
+IGNORED = ("allocate", "file_type", "use_analytic_normalization", "estimate_cumulative_variance", "use_unnormalized_triggers", "force_unnormalized_triggers", "deallocate_between_substreams", "L1b_config")
 #: Cold-plasma delay in seconds of DM 1 at 1 GHz.
 DELAY_S = 4.148808e-3
 
@@ -219,11 +221,19 @@ class Dedisperser(Operator):
     dm_min: float | None = None
     dm_max: float | None = None
     ntrial: int = 64
-    hdf5_output_filename: str = ""
+    hdf5_output_filename: str | None = None
     nt_per_hdf5_file: int = 0
     fill_rfi_mask: bool = False
     verbosity: int = 1
     class_name = "bonsai_dedisperser_cpp"
+    json_renames = {"dm_min": "global_max_tracker_dm_min", "dm_max": "global_max_tracker_dm_max"}
+
+    @classmethod
+    def from_json(cls, j: dict[str, Any]) -> Dedisperser:
+        """Accepts settings in a nested ``initializer``; those that steer memory or normalization of another engine have no meaning here."""
+        flat = {k: v for k, v in (j | j.get("initializer", {})).items() if k not in ("initializer", *IGNORED)}
+        back = {v: k for k, v in cls.json_renames.items()}
+        return super().from_json({back.get(k, k): v for k, v in flat.items()})
 
     def settings(self) -> dict[str, Any]:
         got = (read_config(self.config_filename) if self.config_filename else {}) | self.config
@@ -253,20 +263,35 @@ class Dedisperser(Operator):
 
 @dataclass
 class DedisperserPlots(Dedisperser):
-    """The dedisperser with waterfall tiles of the trigger plane: output ``trigger_tiles`` (zoom, dm_bin, t_bin, trigger).
+    """The dedisperser with waterfall tiles of the trigger plane: output ``trigger_tiles`` (zoom, tile, x, y, trigger, hot).
 
-    Each zoom level is a maximum over pairs of the one before.
+    Triggers are pooled by maxima to img_ndm rows, and to tiles of img_nt columns of
+    downsample_nt * 2^zoom samples; hot counts the thresholds (0, 1 or 2) they exceed.
     """
 
-    img_prefix: str = "triggers"
+    img_prefix: str | None = "triggers"
+    img_ndm: int = 256
+    img_nt: int = 256
+    downsample_nt: int = 1
     n_zoom: int = 1
+    plot_threshold1: float = 6.0
+    plot_threshold2: float = 10.0
+    dynamic_plotter: bool = False
+    plot_all_trees: bool = False
     class_name = "bonsai_dedisperser_python"
 
     def apply(self, grid: Grid) -> Grid:
         grid = super().apply(grid)
-        level = grid.outputs["triggers"].withColumn("zoom", F.lit(0))
+        if not self.img_prefix or not self.n_zoom:
+            return grid
+        s = self.settings()
+        rows = -(-self.ntrial // s["ndm_per_trigger"])
+        y = F.expr(f"dm_bin * {self.img_ndm} div {rows}") if rows > self.img_ndm else F.col("dm_bin")
+        step = max(1, self.downsample_nt // s["nt_per_trigger"])
+        level = grid.outputs["triggers"].groupBy(y.alias("y"), F.expr(f"t_bin div {step}").alias("c")).agg(F.max("trigger").alias("trigger")).withColumn("zoom", F.lit(0))
         out = level
         for z in range(1, self.n_zoom):
-            level = level.groupBy("dm_bin", F.expr("t_bin div 2").alias("t_bin")).agg(F.max("trigger").alias("trigger")).withColumn("zoom", F.lit(z))
+            level = level.groupBy("y", F.expr("c div 2").alias("c")).agg(F.max("trigger").alias("trigger")).withColumn("zoom", F.lit(z))
             out = out.unionByName(level)
-        return grid.with_output("trigger_tiles", out)
+        hot = (F.col("trigger") >= self.plot_threshold1).cast("int") + (F.col("trigger") >= self.plot_threshold2).cast("int")
+        return grid.with_output("trigger_tiles", out.select("zoom", F.expr(f"c div {self.img_nt}").alias("tile"), F.expr(f"cast(c % {self.img_nt} as int)").alias("x"), "y", "trigger", hot.alias("hot")))

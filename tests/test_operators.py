@@ -373,3 +373,14 @@ def test_one_axis_one_shuffle(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert out.select(F.sum("weight")).first()[0] > 0
+
+
+def test_trigger_tiles(spark):
+    from gridloom.operators.dedispersion import DedisperserPlots
+
+    i, w = random_grid(RNG, 8, 128)
+    g = DedisperserPlots(config={"max_dm": 5.0, "nt_per_trigger": 4}, ntrial=8, img_ndm=4, img_nt=8, n_zoom=2, plot_threshold1=1.0, plot_threshold2=2.0)(grid_of(spark, i, w))
+    tiles = g.outputs["trigger_tiles"].collect()
+    top = max(r.trigger for r in g.outputs["triggers"].collect())
+    assert max(r.trigger for r in tiles) == top and {r.zoom for r in tiles} == {0, 1} and max(r.y for r in tiles) == 3 and max(r.x for r in tiles) == 7
+    assert all(r.hot == (r.trigger >= 1) + (r.trigger >= 2) for r in tiles)

@@ -160,3 +160,16 @@ def test_the_rest_works_without_the_removable_parts(tmp_path):
             shutil.copy(src, tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'clip_time' in q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_dedisperser_configuration(tmp_path):
+    from gridloom.operators.dedispersion import read_config
+
+    (tmp_path / "c.txt").write_text("# a config\nnfreq = 16\nmax_dm = 50.0  # top\nbeta = [0 1 2.5]\nname = x\n")
+    assert read_config(str(tmp_path / "c.txt")) == {"nfreq": 16, "max_dm": 50.0, "beta": [0, 1, 2.5], "name": "x"}
+    op = from_json({"class_name": "bonsai_dedisperser_cpp", "config_filename": str(tmp_path / "c.txt"), "initializer": {"fill_rfi_mask": True, "allocate": False, "verbosity": 2, "file_type": "float"}})
+    assert op.fill_rfi_mask and op.settings()["max_dm"] == 50.0
+    with pytest.raises(ValueError):
+        op.bind(GridMeta(32, 1, 400.0, 800.0, 1e-3))
+    plots = from_json({"class_name": "bonsai_dedisperser_python", "config_filename": "", "fill_rfi_mask": False, "img_prefix": "t", "img_ndm": 4, "img_nt": 8, "track_global_max": True, "global_max_tracker_dm_min": 1.0, "global_max_tracker_dm_max": 9.0, "L1b_config": None})
+    assert (plots.dm_min, plots.dm_max) == (1.0, 9.0) and plots.jsonize()["global_max_tracker_dm_max"] == 9.0

@@ -81,3 +81,33 @@ def test_data_source_streams(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("noise").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert 0 < spark.table("noise").count() <= 192
+
+
+def test_packets_over_the_network(spark, tmp_path):
+    """Packetizer to UDP to landed files to a stream; masks survive, intensities to a quantum."""
+    import socket
+    from threading import Thread
+
+    from gridloom.sinks.packets import Packetizer
+    from gridloom.streaming.network import decode, encode, network_meta, network_stream, receive, udp_sender
+
+    i, w = random_grid(RNG, 4, 16)
+    g = grid_of(spark, i, w, dt_sample=2.56e-6 * 384)
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+        s.bind(("127.0.0.1", 0))
+        kept = []
+        t = Thread(target=lambda: kept.append(receive(s, str(tmp_path / "land"), 3, 0.5, 25)))
+        t.start()
+        Packetizer("127.0.0.1", 1, 16, 8, 0.6, coarse=2, send=udp_sender("127.0.0.1", s.getsockname()[1], 3))(g)
+        t.join()
+    assert kept == [4]
+    q = network_stream(spark, str(tmp_path / "land"), 2.0).writeStream.format("memory").queryName("net").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination()
+    got = {(r.freq, r.t): (r.intensity, r.weight) for r in spark.table("net").collect()}
+    assert len(got) == 64
+    for (f, k), (x, y) in got.items():
+        assert y == (w[f, k] >= 0.6)
+        assert y == 0 or abs(x - 2 * i[f, k]) < 0.1
+    assert network_meta(16, 384).dt_sample == pytest.approx(0.98304e-3)
+    with pytest.raises(ValueError):
+        decode(encode(1, [(0, 0, 1.0, True)])[:-1])
