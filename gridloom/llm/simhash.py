@@ -159,4 +159,5 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     roots = materialize(component_roots(short, hot), "roots")
     first = short.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
     stay = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    return rows.join(materialize(stay, "stay"), row, "left_semi").select(df.columns)
+    # rows are dealt out by number at every size: what stays grows with the rows, and is never sent to all tasks
+    return rows.join(materialize(stay, "stay").hint("shuffle_hash"), row, "left_semi").select(df.columns)
