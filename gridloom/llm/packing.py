@@ -40,7 +40,7 @@ SENTENCE_PENALTY, HARD_PENALTY = 4, 64
 LEAST_GAP, GRID = 16, 512
 FLUSH, KEEP = 64, 6
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 MARK = "\x01"
 SPACES = re.compile("[\n\t\r]")
 
