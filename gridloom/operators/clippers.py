@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import blocks
 from ..functions.keys import axis_keys, check_chunk, chunk_key, freq_key, parse_axis, time_key
 from ..functions.resample import check_factors
 from ..functions.stats import block_intensity, stats, window_stats
@@ -46,6 +48,9 @@ class IntensityClipper(Operator):
             check_chunk(meta, self.nt_chunk, self.Dt)
         return meta
 
+    def kernel(self, i: np.ndarray, w: np.ndarray, meta: GridMeta, t0: int) -> tuple[np.ndarray, np.ndarray]:
+        return i, blocks.clip(i, w, self.axis, self.nt_chunk // meta.nds, self.sigma, self.niter, self.iter_sigma or self.sigma, self.Df, self.Dt)
+
     def group_cells(self, meta: GridMeta) -> int:
         per_chunk = self.nt_chunk // meta.nds
         return {"freq": meta.nfreq * self.Dt, "time": per_chunk * self.Df, "none": per_chunk * meta.nfreq}[self.axis]
@@ -89,6 +94,9 @@ class StdDevClipper(Operator):
         check_chunk(meta, self.nt_chunk, self.Dt)
         return meta
 
+    def kernel(self, i: np.ndarray, w: np.ndarray, meta: GridMeta, t0: int) -> tuple[np.ndarray, np.ndarray]:
+        return i, blocks.std_dev_clip(i, w, self.axis, self.nt_chunk // meta.nds, self.sigma, self.Df, self.Dt)
+
     def apply(self, grid: Grid) -> Grid:
         m = grid.meta
         df, c = chunk_key(grid.df, self.nt_chunk)

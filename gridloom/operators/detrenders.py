@@ -58,11 +58,12 @@ def solve_expressions(df: DataFrame, n: int, epsilon: float) -> DataFrame:
     return df
 
 
-def solve_arrays(x: np.ndarray, i: np.ndarray, w: np.ndarray, basis: np.ndarray, epsilon: float, ridge: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def solve_arrays(i: np.ndarray, w: np.ndarray, basis: np.ndarray, epsilon: float, ridge: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
     """Residuals and whether each row is well conditioned; rows of i and w are independent fits over x."""
-    m = np.einsum("rx,ax,bx->rab", w, basis, basis)
-    v = np.einsum("rx,ax->ra", w * i, basis)
     n = len(basis)
+    # products of basis functions first: two matrix products over all rows
+    m = (w @ (basis[:, None] * basis[None]).reshape(n * n, -1).T).reshape(-1, n, n)
+    v = (w * i) @ basis.T
     m[:, range(n), range(n)] += ridge * m[:, range(n), range(n)].mean(1, keepdims=True)
     low = np.zeros_like(m)
     good = np.ones(len(w), dtype=bool)
@@ -105,6 +106,14 @@ class PolynomialDetrender(Operator):
             check_chunk(meta, self.nt_chunk)
         return meta
 
+    def kernel(self, i: np.ndarray, w: np.ndarray, meta: GridMeta, t0: int) -> tuple[np.ndarray, np.ndarray]:
+        size = meta.nfreq if self.axis == "freq" else self.nt_chunk // meta.nds
+        basis = np.polynomial.legendre.legvander(np.linspace(-1, 1, size) if size > 1 else np.array([-1.0]), self.polydeg).T
+        rows = (lambda x: x.T) if self.axis == "freq" else (lambda x: x.reshape(-1, size))
+        new, good = solve_arrays(rows(i), rows(w), basis, self.epsilon)
+        weight = np.where(good[:, None], rows(w), 0.0)
+        return (new.T, weight.T) if self.axis == "freq" else (new.reshape(i.shape), weight.reshape(i.shape))
+
     def apply(self, grid: Grid) -> Grid:
         m = grid.meta
         df, keys = axis_keys(grid.df, m, self.axis, self.nt_chunk)
@@ -136,7 +145,7 @@ class PolynomialDetrender(Operator):
             x = t["__at"].to_numpy()
             i, w = np.zeros((len(rows), size)), np.zeros((len(rows), size))
             i[r, x], w[r, x] = t["intensity"].to_numpy(), t["weight"].to_numpy()
-            new, good = solve_arrays(x, i, w, basis, epsilon)
+            new, good = solve_arrays(i, w, basis, epsilon)
             t = t.set_column(t.schema.get_field_index("intensity"), "intensity", pa.array(new[r, x]))
             t = t.set_column(t.schema.get_field_index("weight"), "weight", pa.array(np.where(good[r], w[r, x], 0.0)))
             return t.drop_columns(["__at", "__blk"])
@@ -180,22 +189,29 @@ class SplineDetrender(Operator):
         if self.nbins < 1 or self.epsilon <= 0:
             raise ValueError("nbins must be at least 1 and epsilon positive")
 
+    def kernel(self, i: np.ndarray, w: np.ndarray, meta: GridMeta, t0: int) -> tuple[np.ndarray, np.ndarray]:
+        new, live = self.fit(i.T, w.T)
+        return new.T, np.where(live, w, 0.0)
+
+    def fit(self, i: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Residuals of rows of samples, and which rows have a fit."""
+        basis = hermite_basis((np.arange(i.shape[1]) + 0.5) / i.shape[1], self.nbins)
+        live, new = w.sum(1) > 0, i.copy()
+        if live.any():
+            new[live], good = solve_arrays(i[live], w[live], basis, 1e-12, ridge=self.epsilon)
+            live[np.flatnonzero(live)[~good]] = False
+        return new, live
+
     def apply(self, grid: Grid) -> Grid:
         n, nds = grid.meta.nfreq, grid.meta.nds
-        basis = hermite_basis((np.arange(n) + 0.5) / n, self.nbins)
-        epsilon = self.epsilon
-        cells = grid.cells
+        fit, cells = self.fit, grid.cells
 
         def each(t: pa.Table) -> pa.Table:
             times, r = np.unique(t["t"].to_numpy(), return_inverse=True)
             f = t["freq"].to_numpy()
             i, w = np.zeros((len(times), n)), np.zeros((len(times), n))
             i[r, f], w[r, f] = t["intensity"].to_numpy(), t["weight"].to_numpy()
-            live = w.sum(1) > 0
-            new = i.copy()
-            if live.any():
-                new[live], good = solve_arrays(f, i[live], w[live], basis, 1e-12, ridge=epsilon)
-                live[np.flatnonzero(live)[~good]] = False
+            new, live = fit(i, w)
             t = t.set_column(t.schema.get_field_index("intensity"), "intensity", pa.array(new[r, f]))
             t = t.set_column(t.schema.get_field_index("weight"), "weight", pa.array(np.where(live[r], w[r, f], 0.0)))
             return t.drop_columns(["__blk"])

@@ -8,6 +8,7 @@ import random
 from dataclasses import dataclass, field
 from typing import ClassVar
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +71,12 @@ class BadChannelMask(Operator):
         channel_ranges(self.ranges(), meta)
         return meta
 
+    def kernel(self, i: np.ndarray, w: np.ndarray, meta: GridMeta, t0: int) -> tuple[np.ndarray, np.ndarray]:
+        w = w.copy()
+        for a, b in channel_ranges(self.ranges(), meta):
+            w[a:b] = 0
+        return i, w
+
     def apply(self, grid: Grid) -> Grid:
         spark = grid.df.sparkSession
         ranges = channel_ranges(self.ranges(), grid.meta)
@@ -92,6 +99,9 @@ class SpikeMask(Operator):
             raise ValueError(f"nfreq must be a multiple of {UPFREQ}; the instrument has {self.nfreq}")
         return meta
 
+    def kernel(self, i: np.ndarray, w: np.ndarray, meta: GridMeta, t0: int) -> tuple[np.ndarray, np.ndarray]:
+        return i, np.where(np.arange(len(w))[:, None] % UPFREQ == UPFREQ - 1, 0.0, w)
+
     def apply(self, grid: Grid) -> Grid:
         return grid.with_df(grid.df.withColumn("weight", F.when(F.col("freq") % UPFREQ == UPFREQ - 1, 0.0).otherwise(F.col("weight"))))
 
@@ -113,8 +123,14 @@ class Derippler(Operator):
             raise ValueError(f"nfreq must be a multiple of {UPFREQ}")
         return meta
 
+    def factors(self) -> list[float]:
+        return [1 / (1 + self.fudge_factor * (c - 1)) for c in RIPPLE]
+
+    def kernel(self, i: np.ndarray, w: np.ndarray, meta: GridMeta, t0: int) -> tuple[np.ndarray, np.ndarray]:
+        return i * np.resize(self.factors(), len(i))[:, None], w
+
     def apply(self, grid: Grid) -> Grid:
-        by = F.array(*[F.lit(1 / (1 + self.fudge_factor * (c - 1))) for c in RIPPLE])
+        by = F.array(*map(F.lit, self.factors()))
         return grid.with_df(grid.df.withColumn("intensity", F.col("intensity") * F.element_at(by, F.col("freq") % UPFREQ + 1)))
 
 

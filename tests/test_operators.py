@@ -384,3 +384,38 @@ def test_trigger_tiles(spark):
     top = max(r.trigger for r in g.outputs["triggers"].collect())
     assert max(r.trigger for r in tiles) == top and {r.zoom for r in tiles} == {0, 1} and max(r.y for r in tiles) == 3 and max(r.x for r in tiles) == 7
     assert all(r.hot == (r.trigger >= 1) + (r.trigger >= 2) for r in tiles)
+
+
+def production_chain():
+    return [
+        BadChannelMask(mask_ranges=[(500.0, 510.0)]),
+        SubPipeline(Pipeline([IntensityClipper(16, "time", 1.5, 2), IntensityClipper(16, "none", 1.6), StdDevClipper(32, "time", 1.5), StdDevClipper(16, "freq", 1.6)]), 0.2, Df=2, Dt=2),
+        PolynomialDetrender(16, "time", 2),
+        SplineDetrender(0, "freq", 2),
+        PolynomialDetrender(0, "freq", 1),
+        IntensityClipper(32, "freq", 1.7, 2, Df=2, Dt=4),
+    ]
+
+
+def test_fused_chain_equals_its_operators(spark):
+    from gridloom.operators.fused import FusedChain, fusible, pack_cells, unpack_cells
+
+    i, w = random_grid(RNG, 16, 80)
+    w[:, 40:44] = 0
+    g = grid_of(spark, i, w)
+    chain = FusedChain(production_chain(), 32)
+    assert fusible(chain) and not fusible(FusedChain([RCDetrender()]))
+    want_i, want_w = arrays_of(Pipeline(production_chain())(g), 80)
+    got_i, got_w = arrays_of(chain(g), 80)
+    np.testing.assert_allclose(got_w, want_w)
+    np.testing.assert_allclose(got_i * got_w, want_i * want_w, atol=1e-9)
+    packed = pack_cells(g, 32)
+    assert packed.count() == 16 * 3
+    back = unpack_cells(chain.apply_packed(packed, g.meta), g.meta, 32)
+    pi, pw = arrays_of(back, 96)
+    np.testing.assert_allclose(pw[:, :80], want_w)
+    assert (pw[:, 80:] == 0).all()
+    np.testing.assert_allclose(pi[:, :80] * pw[:, :80], want_i * want_w, atol=1e-9)
+    for bad in (FusedChain([IntensityClipper(24, "time", 2.0)], 32), FusedChain([RCDetrender(16)], 32)):
+        with pytest.raises(ValueError):
+            bad.bind(g.meta)
