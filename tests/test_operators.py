@@ -409,13 +409,15 @@ def test_fused_chain_equals_its_operators(spark):
     got_i, got_w = arrays_of(chain(g), 80)
     np.testing.assert_allclose(got_w, want_w)
     np.testing.assert_allclose(got_i * got_w, want_i * want_w, atol=1e-9)
-    packed = pack_cells(g, 32)
+    packed = pack_cells(g, 32, "<f8")
     assert packed.count() == 16 * 3
-    back = unpack_cells(chain.apply_packed(packed, g.meta), g.meta, 32)
+    back = unpack_cells(chain.apply_packed(packed, g.meta, "<f8"), g.meta, 32, "<f8")
     pi, pw = arrays_of(back, 96)
     np.testing.assert_allclose(pw[:, :80], want_w)
     assert (pw[:, 80:] == 0).all()
     np.testing.assert_allclose(pi[:, :80] * pw[:, :80], want_i * want_w, atol=1e-9)
+    floats, _ = arrays_of(unpack_cells(pack_cells(g, 32), g.meta, 32), 96)
+    np.testing.assert_allclose(floats[:, :80], i, rtol=1e-6)
     for bad in (FusedChain([IntensityClipper(24, "time", 2.0)], 32), FusedChain([RCDetrender(16)], 32)):
         with pytest.raises(ValueError):
             bad.bind(g.meta)
