@@ -20,6 +20,7 @@ the partition's number times 2^32 plus a count from 0.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,17 +41,53 @@ SENTENCE_PENALTY, HARD_PENALTY = 4, 64
 #: Sentence ends count if this far apart; longer sentences get a node per GRID tokens.
 LEAST_GAP, GRID = 16, 512
 FLUSH, KEEP = 64, 6
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 250_000
-MARK = "\x01"
+#: Words, and parts of words, whose ids a worker remembers: some 70 MB.
+RECENT_WORDS, RECENT_PARTS = 100_000, 150_000
 SPACES = re.compile("[\n\t\r]")
+#: Texts in which lower case, letters, digits and white space are simple: ASCII and Latin-1 letters.
+SAFE = re.compile("[ -~\t\n\rÀ-ÖØ-öø-ÿ]*")
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \t\n\r]+")
+#: The steps of a tokenizer file that SAFE and PART stand for.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Byte-level BPE writes a byte as a character: printable ones as themselves, the n-th other as 256 + n.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+BYTES = {c: "".join(BYTE[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+class Recent:
+    """Remembers bytes by string: the last ``size`` strings used at least, and about twice as many at most."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.new, self.old = size, {"": b""}, {}
+
+    def missing(self, need: set[str]) -> set[str]:
+        """What of need is not known; what is known can be looked up in ``new`` until the next call."""
+        if len(self.new) > self.size:
+            self.old, self.new = self.new, {"": b""}
+        absent = need - self.new.keys()
+        again = absent & self.old.keys()
+        self.new |= {k: self.old[k] for k in again}
+        return absent - again
 
 
 class WordTokenizer:
     """Ids of whole texts, word by word: this tokenizer never merges across white space.
 
-    A word's ids are computed once per worker and then looked up. Unknown words of
-    a batch are encoded in one call, with a mark between them that no word holds.
+    The ids of words are remembered and looked up. Where the file's normalizer and
+    splitter are the known ones (``KNOWN``), new words of ASCII and Latin-1 letters are
+    lower-cased and cut into parts here: runs of letters, digits, runs of marks. Those
+    need no normalizer any more, and a tokenizer without one learns new parts in one
+    call, split at white space. All other words go through the file's own tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -57,11 +95,18 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {"": b""}
-        self.mark = self.model.encode(MARK, add_special_tokens=False).ids
-        self.ends = np.zeros(self.model.get_vocab_size(), dtype=bool)
-        marks = [i for w, i in self.model.get_vocab().items() if w.endswith("</w>") and any(c in ".!?" for c in w) and not any(c.isalnum() for c in w[:-4])]
+        self.words, self.parts = Recent(RECENT_WORDS), Recent(RECENT_PARTS)
+        spec = json.loads(self.model.to_str())
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.known = {k: spec[k] for k in KNOWN} == KNOWN and spec["model"]["end_of_word_suffix"] == "</w>"
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        marks = [i for w, i in vocabulary.items() if w.endswith("</w>") and any(c in ".!?" for c in w) and not any(c.isalnum() for c in w[:-4])]
         self.ends[marks] = True
+        if self.known:
+            self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+            self.last = np.zeros_like(self.ends)
+            self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     @staticmethod
     def of(path: str) -> WordTokenizer:
@@ -71,32 +116,54 @@ class WordTokenizer:
             kept[path] = WordTokenizer(path)
         return kept[path]
 
-    def one(self, word: str) -> bytes:
-        return np.array(self.model.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if MARK not in w]
-        self.cache |= {w: self.one(w) for w in words if MARK in w}
-        for at in range(0, len(plain), 10_000):
-            part = plain[at : at + 10_000]
-            ids = np.array(self.model.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else []
-            if len(cuts) != len(part) - 1:  # the mark stands in a word's ids, or is several
-                self.cache |= {w: self.one(w) for w in part}
-                continue
-            buf, edge = ids.tobytes(), [-1, *cuts.tolist(), len(ids)]
-            self.cache |= {w: buf[4 * (a + 1) : 4 * b] for w, a, b in zip(part, edge, edge[1:], strict=False)}
+    def simple(self, text: str) -> bool:
+        return bool(self.known and SAFE.fullmatch(text) and not any(x in text for x in self.special))
+
+    def split(self, text: str) -> list[str]:
+        """The words of a text that is not simple: simple ones in lower case, others behind a space."""
+        return [w.lower() if self.simple(w) else " " + w for w in SPACES.sub(" ", text).split(" ") if w]
+
+    def learn(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 20_000):
+            some = parts[at : at + 20_000]
+            text = " ".join(some)
+            ids = np.array(self.plain.encode_batch_fast([text if text.isascii() else text.translate(BYTES)], add_special_tokens=False)[0].ids, dtype="<u4")
+            edge = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]  # a part ends with its one word end
+            if len(edge) != len(some) + 1:
+                raise ValueError("a part has no single word end")
+            buf = ids.tobytes()
+            self.parts.new |= {p: buf[a:b] for p, a, b in zip(some, edge, edge[1:], strict=False)}
+
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
+        new = self.words.missing(set(words))
+        odd = [w for w in new if w[:1] == " "]
+        cut_up = {w: PART.findall(w) for w in new if w[:1] != " "}
+        self.learn(sorted(self.parts.missing(set().union(*cut_up.values()))))
+        get = self.parts.new.__getitem__
+        self.words.new |= {w: b"".join(map(get, ps)) for w, ps in cut_up.items()}
+        self.words.new |= {w: np.array(self.model.encode(w[1:], add_special_tokens=False).ids, dtype="<u4").tobytes() for w in odd}
+        return list(map(self.words.new.__getitem__, words))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [SPACES.sub(" ", t or "").split(" ") for t in texts]
-        need = set().union(*split)
-        new = need - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache = {"": b""}
-            new = need - self.cache.keys()
-        self.learn(sorted(new))
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), dtype="<u4") for ws in split]
+        """Ids per text. Simple texts are split and their different words found by Arrow; ids are then gathered as arrays."""
+        plain = [t is None or self.simple(t) for t in texts]
+        simple = pc.utf8_split_whitespace(pa.array([(t or "").lower() for t, s in zip(texts, plain, strict=True) if s], pa.large_string()))
+        others = pa.array([self.split(t) for t, s in zip(texts, plain, strict=True) if not s], simple.type)
+        found = pa.concat_arrays([simple, others])
+        code = found.flatten().dictionary_encode()
+        known = self.look_up(code.dictionary.to_pylist())
+        size = np.array([len(k) >> 2 for k in known], dtype=np.int64)
+        start = np.cumsum(size) - size
+        pool = np.frombuffer(b"".join(known), dtype="<u4")
+        at = code.indices.to_numpy(zero_copy_only=False)
+        length = size[at]
+        end = np.cumsum(length)
+        ids = pool[np.repeat(start[at] - (end - length), length) + np.arange(length.sum())]
+        edge = np.concatenate(([0], end))[found.offsets.to_numpy()]
+        place = np.empty(len(texts), dtype=np.int64)
+        place[np.argsort(~np.array(plain, dtype=bool), kind="stable")] = np.arange(len(texts))
+        return [ids[edge[k] : edge[k + 1]] for k in place.tolist()]
 
 
 def inner_nodes(ids: np.ndarray, ends: np.ndarray, grid: int = GRID) -> list[tuple[int, int]]:
