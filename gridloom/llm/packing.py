@@ -26,7 +26,7 @@ import re
 import sys
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,7 @@ SPACES = re.compile("[\n\t\r]")
 #: Texts in which lower case, letters, digits and white space are simple: ASCII and Latin-1 letters.
 SAFE = re.compile("[ -~\t\n\rÀ-ÖØ-öø-ÿ]*")
 PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \t\n\r]+")
+PART_OR_BREAK = re.compile(PART.pattern + "|\n")
 #: The steps of a tokenizer file that SAFE and PART stand for.
 KNOWN = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -70,14 +71,31 @@ class Recent:
     def __init__(self, size: int) -> None:
         self.size, self.new, self.old = size, {"": b""}, {}
 
-    def missing(self, need: set[str]) -> set[str]:
-        """What of need is not known; what is known can be looked up in ``new`` until the next call."""
+    def look_up(self, keys: list[str], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The bytes of different strings; learn gives those of unknown ones."""
         if len(self.new) > self.size:
             self.old, self.new = self.new, {"": b""}
-        absent = need - self.new.keys()
-        again = absent & self.old.keys()
-        self.new |= {k: self.old[k] for k in again}
-        return absent - again
+        out = list(map(self.new.get, keys))
+        holes = [k for k, v in enumerate(out) if v is None]
+        asked = [keys[k] for k in holes]
+        found = list(map(self.old.get, asked))
+        unknown = [x for x, v in zip(asked, found, strict=True) if v is None]
+        news = iter(learn(unknown) if unknown else ())
+        found = [next(news) if v is None else v for v in found]
+        self.new.update(zip(asked, found, strict=True))
+        for k, v in zip(holes, found, strict=True):
+            out[k] = v
+        return out
+
+
+def gathered(known: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of known[at], one after the other, and where each one's end."""
+    size = np.fromiter(map(len, known), np.int32, len(known)) >> 2
+    start = np.cumsum(size, dtype=np.int32) - size
+    pool = np.frombuffer(b"".join(known), dtype="<u4")
+    length = size[at]
+    end = np.cumsum(length, dtype=np.int64)
+    return pool[np.repeat((start[at] - (end - length)), length) + np.arange(end[-1] if len(end) else 0)], end
 
 
 class WordTokenizer:
@@ -123,27 +141,36 @@ class WordTokenizer:
         """The words of a text that is not simple: simple ones in lower case, others behind a space."""
         return [w.lower() if self.simple(w) else " " + w for w in SPACES.sub(" ", text).split(" ") if w]
 
-    def learn(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 20_000):
-            some = parts[at : at + 20_000]
-            text = " ".join(some)
-            ids = np.array(self.plain.encode_batch_fast([text if text.isascii() else text.translate(BYTES)], add_special_tokens=False)[0].ids, dtype="<u4")
-            edge = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]  # a part ends with its one word end
-            if len(edge) != len(some) + 1:
-                raise ValueError("a part has no single word end")
-            buf = ids.tobytes()
-            self.parts.new |= {p: buf[a:b] for p, a, b in zip(some, edge, edge[1:], strict=False)}
-
-    def look_up(self, words: list[str]) -> list[bytes]:
-        """The ids of different words."""
-        new = self.words.missing(set(words))
-        odd = [w for w in new if w[:1] == " "]
-        cut_up = {w: PART.findall(w) for w in new if w[:1] != " "}
-        self.learn(sorted(self.parts.missing(set().union(*cut_up.values()))))
-        get = self.parts.new.__getitem__
-        self.words.new |= {w: b"".join(map(get, ps)) for w, ps in cut_up.items()}
-        self.words.new |= {w: np.array(self.model.encode(w[1:], add_special_tokens=False).ids, dtype="<u4").tobytes() for w in odd}
-        return list(map(self.words.new.__getitem__, words))
+    def learn_parts(self, parts: list[str]) -> list[bytes]:
+        out: dict[str, bytes] = {}
+        for some in ([p for p in parts if p.isascii()], [p for p in parts if not p.isascii()]):
+            for at in range(0, len(some), 20_000):
+                few = some[at : at + 20_000]
+                text = " ".join(few)
+                ids = np.array(self.plain.encode_batch_fast([text if text.isascii() else text.translate(BYTES)], add_special_tokens=False)[0].ids, dtype="<u4")
+                edge = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]  # a part ends with its one word end
+                if len(edge) != len(few) + 1:
+                    raise ValueError("a part has no single word end")
+                buf = ids.tobytes()
+                out.update(zip(few, [buf[a:b] for a, b in zip(edge, edge[1:], strict=False)], strict=True))
+        return list(map(out.__getitem__, parts))
+
+    def learn_words(self, words: list[str]) -> list[bytes]:
+        odd = {w: np.array(self.model.encode(w[1:], add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words if w[0] == " "}
+        plain = [w for w in words if w[0] != " "]
+        # all words' parts at once, with a line break after each word
+        code = pa.array(PART_OR_BREAK.findall("\n".join([*plain, ""])), pa.string()).dictionary_encode()
+        keys = code.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = code.indices.to_numpy()
+        known = self.parts.look_up([k if k != "\n" else "" for k in keys], self.learn_parts)
+        ids, end = gathered(known, at)
+        edge = [0, *(4 * end[at == keys.index("\n")]).tolist()] if plain else [0]
+        buf = ids.tobytes()
+        got = [buf[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+        if not odd:
+            return got
+        rest = iter(got)
+        return [odd[w] if w[0] == " " else next(rest) for w in words]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids per text. Simple texts are split and their different words found by Arrow; ids are then gathered as arrays."""
@@ -152,14 +179,8 @@ class WordTokenizer:
         others = pa.array([self.split(t) for t, s in zip(texts, plain, strict=True) if not s], simple.type)
         found = pa.concat_arrays([simple, others])
         code = found.flatten().dictionary_encode()
-        known = self.look_up(code.dictionary.to_pylist())
-        size = np.array([len(k) >> 2 for k in known], dtype=np.int64)
-        start = np.cumsum(size) - size
-        pool = np.frombuffer(b"".join(known), dtype="<u4")
-        at = code.indices.to_numpy(zero_copy_only=False)
-        length = size[at]
-        end = np.cumsum(length)
-        ids = pool[np.repeat(start[at] - (end - length), length) + np.arange(length.sum())]
+        known = self.words.look_up(code.dictionary.to_numpy(zero_copy_only=False).tolist(), self.learn_words)
+        ids, end = gathered(known, code.indices.to_numpy(zero_copy_only=False))
         edge = np.concatenate(([0], end))[found.offsets.to_numpy()]
         place = np.empty(len(texts), dtype=np.int64)
         place[np.argsort(~np.array(plain, dtype=bool), kind="stable")] = np.arange(len(texts))
