@@ -92,6 +92,8 @@ def propagate(linked: DataFrame, quota: list[float], shards: int, rounds: int) -
         goals = cells.groupBy("g").agg(F.sum("bytes").alias("all"), F.sort_array(F.collect_list(able)).alias("open"), F.max(F.struct("bytes", -F.col("shard"))).alias("best")).where("size(open) > 0")
         width = F.least(F.greatest(F.ceil(F.col("all") / F.lit(mean)), F.lit(1)), F.size("open")).cast("int")
         goals = goals.select("g", "all", F.slice(F.transform("open", lambda x: x["shard"]), 1, width).alias("goals"), (-F.col("best")["col2"]).alias("home"), F.col("open")[0]["shard"].alias("first"))
+        # written first: the join is then of two plain tables, and adaptive execution may split a hot group
+        goals = materialize(goals, "goals")
         large = F.col("all") > mean / 4
         pick = F.element_at("goals", (F.pmod("key", F.size("goals")) + 1).cast("int"))
         # small groups gather at their fullest shard; if it is closed they stay, unless an open one is where they are going
@@ -138,7 +140,7 @@ def assign(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col
         where = base.sparkSession.createDataFrame(placed, "key long, shard int")
         parts.append(base.where(big).join(F.broadcast(where), "key").select(cols))
     small = base.where(~big)
-    twice = small.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    twice = materialize(small.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "twice")
     marked = materialize(small.join(twice.withColumn("linked", F.lit(True)), "g", "left"), "marked")
     quota = [max(0.0, mean - x) for x in load]
     linked = marked.where("linked").drop("linked").withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).select(cols)
