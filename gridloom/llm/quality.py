@@ -193,7 +193,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_do
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float32())), strict=True)], ["v", "at", "x"])
 
     chosen = sample_rows(source(df, id_col, text_col), sample_docs, "id", "quality")
-    rows = map_arrow(chosen, each, "v array<int>, at array<int>, x array<float>").collect()
+    # in one order, whatever the partitions: fitting goes row by row
+    rows = sorted(map_arrow(chosen, each, "v array<int>, at array<int>, x array<float>").collect(), key=lambda r: (r.v, r.at, r.x))
     if not rows:
         return QualityModel(labels, Scorer(np.zeros(DIM + 1, dtype=np.float32)))
     targets = labels.posterior(np.array([r.v for r in rows]))
