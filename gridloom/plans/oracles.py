@@ -253,4 +253,6 @@ ORACLES: dict[str, str] = {
     "gaussian_noise": "SELECT CAST(131072 AS BIGINT) AS n, TRUE AS mean_ok, TRUE AS rms_ok",
     "dummy_stream": "SELECT CAST(65536 AS BIGINT) AS n, CAST(1024 AS BIGINT) AS nfreq, CAST(63 AS BIGINT) AS t_max, 65536e0 AS wsum",
     "full_chain": e(CHAIN),
+    "full_chain_fused": e(CHAIN),
+    "full_chain_packed": e(CHAIN),
 }

@@ -18,6 +18,7 @@ from ..operators.containers import Pipeline, PipelineFork, Reverter, Saver, SubP
 from ..operators.dedispersion import FrbInjector, Pulse, PulseAdder, coarse_triggers, dedisperse, global_max
 from ..operators.detrenders import PolynomialDetrender, RCDetrender, SplineDetrender
 from ..operators.fillers import MaskFiller, NoiseFiller, OnlineMaskFiller, compare_variances, evaluate, interpolate_zeros
+from ..operators.fused import FusedChain, pack_cells, unpack_cells
 from ..operators.masks import AdversarialMasker, BadChannelMask, Derippler, MaskCounter, MaskExpander, MeanWeightMask, SpikeMask, ThermalNoiseWeight, last_measurements, mask_measurements, mask_rectangles, measurement_stats
 from ..sinks.packets import packets
 from ..sources.files import acquisition, scan
@@ -327,14 +328,25 @@ def dummy_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("freq").alias("nfreq"), F.max("t").alias("t_max"), F.sum("weight").alias("wsum"))
 
 
-@query
-def full_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain as in production: clip at low resolution, expand, detrend, clip again."""
-    chain = Pipeline([
+def production() -> list[Operator]:
+    """A chain as in production: clip at low resolution, detrend, clip again."""
+    return [
         BadChannelMask(mask_ranges=RANGES),
         SubPipeline(Pipeline([IntensityClipper(64, "time", 1.5), IntensityClipper(64, "freq", 1.5), StdDevClipper(64, "time", 1.6)]), Df=2, Dt=2),
         PolynomialDetrender(64, "time", 1),
         PolynomialDetrender(64, "freq", 2),
         IntensityClipper(64, "time", 2.0, niter=2),
-    ])
-    return summary(chain(emb_grid(spark, sf_dir)).cells, EMB_CHUNK)
+    ]
+
+
+on_embeddings("full_chain", lambda: Pipeline(production()))
+on_embeddings("full_chain_fused", lambda: FusedChain(production(), 64))
+
+
+@query
+def full_chain_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = emb_grid(spark, sf_dir)
+    out = FusedChain(production(), 64).apply_packed(pack_cells(g, 64, "<f8"), g.meta, "<f8")
+    # packing fills a chunk's missing samples with weight 0; the stream ends before them
+    end = g.df.agg(F.coalesce(F.max("t"), F.lit(-1))).first()[0]
+    return summary(unpack_cells(out, g.meta, 64, "<f8").df.where(F.col("t") <= end), EMB_CHUNK)
