@@ -12,7 +12,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a local one is made only where the session has none and runs locally."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = os.path.join(tempfile.gettempdir(), f"gridloom-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", at)
