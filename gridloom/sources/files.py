@@ -89,10 +89,21 @@ def braces(pattern: str) -> list[str]:
     return [pattern] if not m else [q for x in m[1].split(",") for q in braces(pattern[: m.start()] + x + pattern[m.end() :])]
 
 
+def matching(pattern: str) -> list[str]:
+    """Paths that a pattern matches, in order: by Spark's file systems where a session is active, else by the local one."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return sorted({f for p in braces(pattern) for f in glob.glob(p)})
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    whole = "://" in pattern
+    return sorted({f.getPath().toString() if whole else f.getPath().toUri().getPath() for f in found})
+
+
 def acquisition_files(dirname: str, nfiles: int = 0) -> list[str]:
     """Files named by eight digits, in order; the first nfiles if that is positive."""
-    names = sorted(n for n in os.listdir(dirname) if re.fullmatch(r"[0-9]{8}\.parquet", n))
-    return [os.path.join(dirname, n) for n in (names[:nfiles] if nfiles else names)]
+    found = [f for f in matching(f"{dirname.rstrip('/')}/*.parquet") if re.fullmatch(r"[0-9]{8}\.parquet", f.rsplit("/", 1)[-1])]
+    return found[:nfiles] if nfiles else found
 
 
 @dataclass
@@ -121,7 +132,7 @@ class FileStream(Source):
 
     @classmethod
     def from_glob(cls, pattern: str, nt_chunk: int = 0, noise_source_align: int = 0) -> FileStream:
-        return cls(sorted({f for p in braces(os.path.expanduser(pattern)) for f in glob.glob(p)}), nt_chunk, noise_source_align)
+        return cls(matching(os.path.expanduser(pattern)), nt_chunk, noise_source_align)
 
     @classmethod
     def from_times(cls, spark: SparkSession, dirname: str, t0: float, t1: float, nt_chunk: int = 0, noise_source_align: int = 0) -> FileStream:
