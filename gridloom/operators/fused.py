@@ -53,6 +53,15 @@ def run_kernel(op: Operator, i: np.ndarray, w: np.ndarray, meta: GridMeta, t0: i
     return op.kernel(i, w, meta, t0)
 
 
+def apply_to_arrays(op: Operator, intensity: np.ndarray, weight: np.ndarray, **meta: float) -> tuple[np.ndarray, np.ndarray]:
+    """op on one chunk given as (nfreq, nt) arrays; meta: further fields of GridMeta. The arrays given are left as they are."""
+    m = GridMeta(intensity.shape[0], **meta)
+    if not fusible(op):
+        raise ValueError(f"{op.class_name or type(op).__name__} has no array form")
+    op.bind(m)
+    return run_kernel(op, np.array(intensity, dtype=float), np.array(weight, dtype=float), m, 0)
+
+
 @dataclass
 class FusedChain(Operator):
     """Operators with kernels, run together on whole chunks of nt_chunk samples.

@@ -421,3 +421,17 @@ def test_fused_chain_equals_its_operators(spark):
     for bad in (FusedChain([IntensityClipper(24, "time", 2.0)], 32), FusedChain([RCDetrender(16)], 32)):
         with pytest.raises(ValueError):
             bad.bind(g.meta)
+
+
+def test_operators_on_plain_arrays():
+    from gridloom.operators.fused import apply_to_arrays
+
+    i, w = random_grid(RNG, 8, 32)
+    before = w.copy()
+    _, got = apply_to_arrays(IntensityClipper(32, "none", 1.3, 2, Df=2, Dt=4), i, w)
+    np.testing.assert_allclose(got, clip(i, w, "none", 32, 1.3, 2, 0, 2, 4))
+    np.testing.assert_allclose(w, before)
+    _, got = apply_to_arrays(StdDevClipper(16, "time", 1.2), i, w)
+    np.testing.assert_allclose(got, std_clip(i, w, "time", 16, 1.2))
+    with pytest.raises(ValueError):
+        apply_to_arrays(RCDetrender(32), i, w)
