@@ -142,6 +142,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(named, "fp").select("id", "fp", "component")
 
 
+def keep_first(rows: DataFrame, short: DataFrame, roots: DataFrame, row: str) -> DataFrame:
+    """rows whose number, in the column row, is that of the smallest id of a root; short is (id, fp, row), roots (fp, root)."""
+    first = short.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
+    stay = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    # rows are dealt out by number at every size: what stays grows with the rows, and is never sent to all tasks
+    return rows.join(materialize(stay, "stay").hint("shuffle_hash"), row, "left_semi")
+
+
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """df's rows with all their columns, one row of each component: that of the smallest id (null last), or any of them."""
     row, fp = fresh(df, "row"), fresh(df, "fp")
@@ -157,7 +165,4 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     rows = materialize(df.mapInArrow(each, wide).withColumn(row, F.monotonically_increasing_id()), "numbered")
     short = rows.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
     roots = materialize(component_roots(short, hot), "roots")
-    first = short.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
-    stay = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
-    # rows are dealt out by number at every size: what stays grows with the rows, and is never sent to all tasks
-    return rows.join(materialize(stay, "stay").hint("shuffle_hash"), row, "left_semi").select(df.columns)
+    return keep_first(rows, short, roots, row).select(df.columns)
