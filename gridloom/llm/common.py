@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that separates words everywhere in this subpackage, as a Java regex class.
@@ -82,14 +82,27 @@ def number_within(df: DataFrame, group: str, order: list[str], bucket: str, out:
     return df.withColumn("__at", at).join(offsets, [group, bucket]).withColumn(out, F.col("__base") + F.col("__at") - 1).drop("__at", "__base")
 
 
+def in_order(df: DataFrame, order: list[str | Column], out: str, name: str) -> DataFrame:
+    """df written in order, with ``out``: a gapless number from 0.
+
+    Rows are sorted by ranges; only one row per range meets in one task.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the number is of the sorted range as it is written: its index in the high bits, the row in the low 33
+    ranged = materialize(ranged.withColumn(out, F.monotonically_increasing_id()), name).withColumn("__part", F.shiftright(out, 33))
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    base = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    return ranged.join(base, "__part").withColumn(out, F.col("__base") + F.col(out).bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__base")
+
+
 def sample_rows(df: DataFrame, n: int, id_col: str, seed: str) -> DataFrame:
-    """At most n rows: those whose id has the lowest seeded hash, the same in every run.
+    """At most n different rows, the same in every run: those of the lowest seeded hash of id and content.
 
-    Only hashes are sorted; the rows themselves move once they are chosen.
+    Only hashes are sorted; rows that are equal share a hash, and one of them is taken.
     """
-    h = F.xxhash64(F.lit(seed), F.col(id_col))
+    h = F.xxhash64(F.lit(seed), F.col(id_col), *[F.col(c) for c in df.columns if c != id_col])
     cut = df.select(h.alias("h")).orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    return df.where(h <= F.lit(cut)).limit(n)
+    return df.where(h <= F.lit(cut)).dropDuplicates()
 
 
 def fresh(df: DataFrame, name: str) -> str:

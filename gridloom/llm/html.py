@@ -26,10 +26,10 @@ from html import unescape
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import in_order, map_arrow, materialize
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|<[!?/][^>]*+>?|[^<]++|<""", re.DOTALL)
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math", "object", "canvas", "audio", "video", "select"}
@@ -184,13 +184,7 @@ def differenced(pages: DataFrame) -> DataFrame:
     Pages are numbered in order, and go in runs of SPAN to a task, each run with the
     page before and the page after it: a host of any size is many runs.
     """
-    order = ["host", "path", "id", "url"]
-    ordered = pages.repartitionByRange(*order).sortWithinPartitions(*order)
-    # the number is of the sorted partition as it is written: its index in the high bits, the row in the low 33
-    ordered = materialize(ordered.withColumn("__at", F.monotonically_increasing_id()), "ordered").withColumn("__part", F.shiftright("__at", 33))
-    sizes = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    base = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    n = ordered.join(base, "__part").withColumn("__at", F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__base")
+    n = in_order(pages, ["host", "path", "id", "url"], "__at", "ordered")
     run = F.floor(F.col("__at") / SPAN)
     runs = F.array(run, F.when(F.col("__at") % SPAN == 0, run - 1), F.when(F.col("__at") % SPAN == SPAN - 1, run + 1))
     n = n.withColumn("__run", F.explode(F.filter(runs, lambda x: x.isNotNull() & (x >= 0))))

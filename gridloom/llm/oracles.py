@@ -42,7 +42,8 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 
 
 MIXING = rf"""
-WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, CASE WHEN count(*) OVER (PARTITION BY doc_id) > 1
+  THEN ':' || md5(coalesce(text, '')) || ':' || (row_number() OVER (PARTITION BY doc_id, coalesce(text, ''), source) - 1) ELSE '' END AS more FROM documents),
 p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
 c AS (SELECT *, 2 * source_size AS cap, CAST(CAST(sum(source_size) OVER () AS BIGINT) * 150 AS DOUBLE) / 100 AS total, CAST(sum(w) OVER () AS BIGINT) AS all_w FROM p),
 a AS (SELECT *, CAST(coalesce(sum(cap) OVER o, 0) AS BIGINT) AS caps, CAST(coalesce(sum(w) OVER o, 0) AS BIGINT) AS ws FROM c
@@ -51,17 +52,17 @@ f AS (SELECT *, (total - caps) / (all_w - ws) AS level FROM a),
 g AS (SELECT arg_min(level, CAST(cap AS DOUBLE) / w) FILTER (level * w <= cap) AS level FROM f),
 t AS (SELECT source, source_size, CASE WHEN g.level IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), g.level * w) END AS target FROM f, g),
 u AS (SELECT d.doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-  CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0e0 AS draw
+  CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || d.more), 1, 8) AS BIGINT) / 4294967296.0e0 AS draw
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM u)
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM k
 """
 
 TOPK = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.rid <> c.rid),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 

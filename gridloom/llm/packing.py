@@ -3,13 +3,15 @@
 Documents of a partition form one token stream in their order. Nodes of the
 stream are document ends, sentence ends and a coarse grid inside long sentences;
 the program chooses nodes to cut at, no further apart than a window, so that
-padding plus penalties is least. A window of length n is padded to the full
-window, unless n is a power of two. The best predecessor under a padded window is
-the front of a monotone queue over cost + position; the twelve powers of two are
-looked up.
+padding plus penalties plus a small cost per window is least. A window of length n
+is padded to the full window, unless n is a power of two. The best predecessor under
+a padded window is the front of a monotone queue over cost + position; the powers of
+two are looked up.
 
-Memory is bounded: after FLUSH windows' worth of tokens all but the last few
-windows are final and leave; a partition holds that much and the document at hand.
+Windows leave when no later token can change them, so the cuts are those of one
+programme over the whole stream. Memory is bounded: if more than OPEN_WINDOWS windows
+wait for that, the cheapest way so far is taken as it is, which costs the padding of
+one window and what the way to its end was dearer.
 
 Defined cases: a null or empty text is the end token alone; repeated rows and
 null ids are packed like any row; extra columns are not read; an empty table
@@ -25,8 +27,10 @@ import os
 import re
 import sys
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +44,14 @@ WINDOW = 4096
 SENTENCE_PENALTY, HARD_PENALTY = 4, 64
 #: Sentence ends count if this far apart; longer sentences get a node per GRID tokens.
 LEAST_GAP, GRID = 16, 512
-FLUSH, KEEP = 64, 6
-#: Words, and parts of words, whose ids a worker remembers: some 70 MB.
-RECENT_WORDS, RECENT_PARTS = 100_000, 150_000
+#: Padding tokens that a window is worth: of ways with equal padding, that with fewer windows.
+WINDOW_COST = 32
+#: A partition looks for final windows each time so many have come, and lets so many wait at most.
+FLUSH, OPEN_WINDOWS = 64, 1024
+#: Words, and parts of words, whose ids a worker remembers: some 30 MB.
+RECENT_WORDS, RECENT_PARTS = 250_000, 200_000
+#: Texts that are tokenized together.
+BATCH_BYTES = 8 << 20
 SPACES = re.compile("[\n\t\r]")
 #: Texts in which lower case, letters, digits and white space are simple: ASCII and Latin-1 letters.
 SAFE = re.compile("[ -~\t\n\rÀ-ÖØ-öø-ÿ]*")
@@ -65,37 +74,49 @@ BYTE = {b: chr(b) for b in PRINTABLE} | {b: chr(256 + n) for n, b in enumerate(b
 BYTES = {c: "".join(BYTE[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
+def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces ``at`` of pool, one after the other, and where each one's end."""
+    length = size[at]
+    end = np.cumsum(length, dtype=np.int64)
+    return pool[np.repeat(start[at] - (end - length), length) + np.arange(end[-1] if len(end) else 0)], end
+
+
+#: Finds the ids of different strings: all of them in one array, and where each one's end.
+Learn = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
+
 class Recent:
-    """Remembers bytes by string: the last ``size`` strings used at least, and about twice as many at most."""
+    """Token ids by string, in arrays: beyond ``size`` strings, those not used for longest leave."""
 
     def __init__(self, size: int) -> None:
-        self.size, self.new, self.old = size, {"": b""}, {}
-
-    def look_up(self, keys: list[str], learn: Callable[[list[str]], list[bytes]]) -> list[bytes]:
-        """The bytes of different strings; learn gives those of unknown ones."""
-        if len(self.new) > self.size:
-            self.old, self.new = self.new, {"": b""}
-        out = list(map(self.new.get, keys))
-        holes = [k for k, v in enumerate(out) if v is None]
-        asked = [keys[k] for k in holes]
-        found = list(map(self.old.get, asked))
-        unknown = [x for x, v in zip(asked, found, strict=True) if v is None]
-        news = iter(learn(unknown) if unknown else ())
-        found = [next(news) if v is None else v for v in found]
-        self.new.update(zip(asked, found, strict=True))
-        for k, v in zip(holes, found, strict=True):
-            out[k] = v
-        return out
-
-
-def gathered(known: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of known[at], one after the other, and where each one's end."""
-    size = np.fromiter(map(len, known), np.int32, len(known)) >> 2
-    start = np.cumsum(size, dtype=np.int32) - size
-    pool = np.frombuffer(b"".join(known), dtype="<u4")
-    length = size[at]
-    end = np.cumsum(length, dtype=np.int64)
-    return pool[np.repeat((start[at] - (end - length)), length) + np.arange(end[-1] if len(end) else 0)], end
+        self.size, self.now = size, 0
+        self.keys = pa.array([], pa.large_string())
+        self.pool, self.start, self.length, self.used = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def ids_of(self, strings: pa.Array, learn: Learn) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all strings in one array, and where each one's end. learn is asked once for each unknown string."""
+        self.now += 1
+        at = pc.index_in(strings, value_set=self.keys)
+        unknown = strings.filter(pc.is_null(at))
+        at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).copy()
+        if len(unknown):
+            code = unknown.dictionary_encode()
+            ids, end = learn(code.dictionary)
+            at[at < 0] = code.indices.to_numpy(zero_copy_only=False) + len(self.keys)
+            begin = np.concatenate(([0], end[:-1]))
+            self.keys = pa.concat_arrays([self.keys, code.dictionary])
+            self.start = np.concatenate((self.start, begin + len(self.pool)))
+            self.length = np.concatenate((self.length, (end - begin).astype(np.int32)))
+            self.used = np.concatenate((self.used, np.zeros(len(end), np.int32)))
+            self.pool = np.concatenate((self.pool, ids))
+        self.used[at] = self.now
+        got = gathered(self.pool, self.start, self.length, at)
+        if len(self.keys) > self.size:
+            stay = np.sort(np.argsort(-self.used, kind="stable")[: self.size // 2])
+            self.pool, end = gathered(self.pool, self.start, self.length, stay)
+            self.keys, self.length, self.used = self.keys.take(pa.array(stay)), self.length[stay], self.used[stay]
+            self.start = end - self.length
+        return got
 
 
 class WordTokenizer:
@@ -141,46 +162,54 @@ class WordTokenizer:
         """The words of a text that is not simple: simple ones in lower case, others behind a space."""
         return [w.lower() if self.simple(w) else " " + w for w in SPACES.sub(" ", text).split(" ") if w]
 
-    def learn_parts(self, parts: list[str]) -> list[bytes]:
-        out: dict[str, bytes] = {}
-        for some in ([p for p in parts if p.isascii()], [p for p in parts if not p.isascii()]):
+    def learn_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Parts are told apart again by the one word end of each."""
+        plain = pc.string_is_ascii(parts).to_numpy(zero_copy_only=False)
+        found, count = [], []
+        for some in (parts.filter(pa.array(plain)), parts.filter(pa.array(~plain))):
             for at in range(0, len(some), 20_000):
-                few = some[at : at + 20_000]
-                text = " ".join(few)
+                few = some.slice(at, 20_000)
+                text = " ".join(few.to_pylist())
                 ids = np.array(self.plain.encode_batch_fast([text if text.isascii() else text.translate(BYTES)], add_special_tokens=False)[0].ids, dtype="<u4")
-                edge = [0, *(4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()]  # a part ends with its one word end
-                if len(edge) != len(few) + 1:
+                edge = np.flatnonzero(self.last[ids]) + 1
+                if len(edge) != len(few):
                     raise ValueError("a part has no single word end")
-                buf = ids.tobytes()
-                out.update(zip(few, [buf[a:b] for a, b in zip(edge, edge[1:], strict=False)], strict=True))
-        return list(map(out.__getitem__, parts))
-
-    def learn_words(self, words: list[str]) -> list[bytes]:
-        odd = {w: np.array(self.model.encode(w[1:], add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words if w[0] == " "}
-        plain = [w for w in words if w[0] != " "]
+                found.append(ids)
+                count.append(np.diff(edge, prepend=0))
+        pool, length = np.concatenate(found), np.concatenate(count)
+        # ASCII parts stand first in the pool
+        place = np.empty(len(parts), dtype=np.int64)
+        place[np.argsort(~plain, kind="stable")] = np.arange(len(parts))
+        return gathered(pool, np.cumsum(length) - length, length, place)
+
+    def learn_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = words.to_pylist()
+        odd = [k for k, w in enumerate(texts) if w[:1] == " "]
+        plain = texts if not odd else [w for w in texts if w[:1] != " "]
         # all words' parts at once, with a line break after each word
-        code = pa.array(PART_OR_BREAK.findall("\n".join([*plain, ""])), pa.string()).dictionary_encode()
-        keys = code.dictionary.to_numpy(zero_copy_only=False).tolist()
-        at = code.indices.to_numpy()
-        known = self.parts.look_up([k if k != "\n" else "" for k in keys], self.learn_parts)
-        ids, end = gathered(known, at)
-        edge = [0, *(4 * end[at == keys.index("\n")]).tolist()] if plain else [0]
-        buf = ids.tobytes()
-        got = [buf[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+        parts = pa.array(PART_OR_BREAK.findall("\n".join([*plain, ""])), pa.large_string())
+        breaks = pc.equal(parts, "\n")
+        ids, end = self.parts.ids_of(parts.filter(pc.invert(breaks)), self.learn_parts)
+        breaks = np.flatnonzero(breaks.to_numpy(zero_copy_only=False))
+        end = np.concatenate(([0], end))[breaks[: len(plain)] - np.arange(len(plain))]
         if not odd:
-            return got
-        rest = iter(got)
-        return [odd[w] if w[0] == " " else next(rest) for w in words]
+            return ids, end
+        # odd words' ids stand behind the others in the pool
+        strange = [np.array(self.model.encode(texts[k][1:], add_special_tokens=False).ids, dtype="<u4") for k in odd]
+        length = np.concatenate((np.diff(end, prepend=0), [len(x) for x in strange])).astype(np.int64)
+        place = np.empty(len(texts), dtype=np.int64)
+        is_odd = np.zeros(len(texts), dtype=bool)
+        is_odd[odd] = True
+        place[np.argsort(is_odd, kind="stable")] = np.arange(len(texts))
+        return gathered(np.concatenate([ids, *strange]), np.cumsum(length) - length, length, place)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids per text. Simple texts are split and their different words found by Arrow; ids are then gathered as arrays."""
+        """Ids per text. Simple texts are split by Arrow; the ids of all words are then gathered as arrays."""
         plain = [t is None or self.simple(t) for t in texts]
-        simple = pc.utf8_split_whitespace(pa.array([(t or "").lower() for t, s in zip(texts, plain, strict=True) if s], pa.large_string()))
+        simple = pc.ascii_split_whitespace(pa.array([(t or "").lower() for t, s in zip(texts, plain, strict=True) if s], pa.large_string()))
         others = pa.array([self.split(t) for t, s in zip(texts, plain, strict=True) if not s], simple.type)
         found = pa.concat_arrays([simple, others])
-        code = found.flatten().dictionary_encode()
-        known = self.words.look_up(code.dictionary.to_numpy(zero_copy_only=False).tolist(), self.learn_words)
-        ids, end = gathered(known, code.indices.to_numpy(zero_copy_only=False))
+        ids, end = self.words.ids_of(found.flatten(), self.learn_words)
         edge = np.concatenate(([0], end))[found.offsets.to_numpy()]
         place = np.empty(len(texts), dtype=np.int64)
         place[np.argsort(~np.array(plain, dtype=bool), kind="stable")] = np.arange(len(texts))
@@ -202,78 +231,143 @@ def inner_nodes(ids: np.ndarray, ends: np.ndarray, grid: int = GRID) -> list[tup
     return out
 
 
-def cut(nodes: list[tuple[int, int]], window: int = WINDOW) -> tuple[list[int], int]:
-    """The cheapest cuts of a stream from 0 to its last node, and their cost.
+class Cuts:
+    """The cheapest cuts of a stream whose nodes arrive in order.
 
-    nodes: (position, penalty), rising, no further apart than a window. Returns the
-    end positions of the windows.
+    The best predecessor under a padded window is the front of a monotone queue over
+    cost + position; windows of a power of two have no padding and are looked up.
     """
-    powers = [1 << k for k in range(window.bit_length() - 1, -1, -1) if 1 << k <= window]
-    where = {0: 0}
-    pos, cost, back = [0], [0.0], [-1]
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])  # (cost + position, node), rising
-    for j, (p, pen) in enumerate(nodes, 1):
-        low = p - window
+
+    def __init__(self, window: int, window_cost: int = 0) -> None:
+        self.window, self.window_cost = window, window_cost
+        self.powers = [1 << k for k in range(window.bit_length() - 1, -1, -1)]
+        self.pos, self.cost, self.back, self.pen = [0], [0], [0], [0]
+        self.where = {0: 0}
+        self.queue: deque[tuple[int, int]] = deque([(0, 0)])  # (cost + position, node), rising
+
+    def add(self, p: int, pen: int) -> None:
+        pos, cost, where, queue = self.pos, self.cost, self.where, self.queue
+        low = p - self.window
         while pos[queue[0][1]] < low:
             queue.popleft()
-        value, i = queue[0]
-        best, at = value + window - p, i
-        for n in powers:
+        value, at = queue[0]
+        best = value - low
+        for n in self.powers:
             i = where.get(p - n)
             if i is not None and cost[i] < best:
                 best, at = cost[i], i
-        best += pen
-        pos.append(p)
-        cost.append(best)
-        back.append(at)
-        where[p] = j
+        best += pen + self.window_cost
+        where[p] = len(pos)
         value = best + p
         while queue and queue[-1][0] >= value:
             queue.pop()
-        queue.append((value, j))
-    ends, j = [], len(nodes)
-    while j > 0:
-        ends.append(pos[j])
-        j = back[j]
-    return ends[::-1], int(cost[-1])
-
-
-def with_tail(nodes: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
-    """nodes plus the cuts that split what a last window holds into powers of two."""
-    end, have = nodes[-1][0], {p for p, _ in nodes}
-    extra, p = [], end
-    rest = end % window
-    for k in range(window.bit_length()):
-        if rest >> k & 1:
-            p -= 1 << k
-            if 0 < p and p not in have:
-                extra.append((p, HARD_PENALTY))
-    return sorted(nodes + extra) if extra else nodes
+        queue.append((value, len(pos)))
+        pos.append(p)
+        cost.append(best)
+        self.back.append(at)
+        self.pen.append(pen)
+
+    def settled(self, last: int) -> int:
+        """The last node that the cheapest ways to all nodes at or behind position ``last`` have in common."""
+        j = bisect_left(self.pos, last)
+        heap = [-k for k in range(j, len(self.pos))]
+        heapify(heap)
+        while heap[0] != heap[-1] or len(heap) > 1:
+            k = -heappop(heap)
+            if not heap or -heap[0] != k:
+                heappush(heap, -self.back[k])
+            if len(heap) == 1:
+                break
+        return -heap[0]
+
+    def ends(self, j: int) -> list[int]:
+        """The positions where the windows up to node j end."""
+        out = []
+        while j > 0:
+            out.append(self.pos[j])
+            j = self.back[j]
+        return out[::-1]
+
+    def forget(self, j: int) -> None:
+        """Drop all nodes before node j, which all ways lead through."""
+        if j:
+            self.pos, self.cost, self.pen, self.back = self.pos[j:], self.cost[j:], self.pen[j:], [max(0, k - j) for k in self.back[j:]]
+            self.where = {p: k for k, p in enumerate(self.pos)}
+            self.queue = deque((v, k - j) for v, k in self.queue if k >= j)
+
+    def add_tail(self) -> None:
+        """Add nodes that split what a last window holds into powers of two, and find the ways behind them anew."""
+        end, extra = self.pos[-1], []
+        p, rest = end, (end - self.pos[0]) % self.window
+        for k in range(self.window.bit_length()):
+            if rest >> k & 1:
+                p -= 1 << k
+                if self.pos[0] < p and p not in self.where:
+                    extra.append((p, HARD_PENALTY))
+        if not extra:
+            return
+        j = bisect_left(self.pos, extra[-1][0])
+        again = sorted(extra + list(zip(self.pos[j:], self.pen[j:], strict=True)))
+        for p in self.pos[j:]:
+            del self.where[p]
+        self.pos, self.cost, self.back, self.pen = self.pos[:j], self.cost[:j], self.back[:j], self.pen[:j]
+        self.queue = deque()
+        for k in range(bisect_left(self.pos, again[0][0] - self.window), j):
+            value = self.cost[k] + self.pos[k]
+            while self.queue and self.queue[-1][0] >= value:
+                self.queue.pop()
+            self.queue.append((value, k))
+        for p, pen in again:
+            self.add(p, pen)
+
+
+def cut(nodes: list[tuple[int, int]], window: int = WINDOW, window_cost: int = 0, tail: bool = False) -> tuple[list[int], int]:
+    """The cheapest cuts of a stream from 0 to its last node, as end positions of windows, and their cost.
+
+    nodes: (position, penalty), rising, no further apart than a window.
+    """
+    cuts = Cuts(window, window_cost)
+    for p, pen in nodes:
+        cuts.add(p, pen)
+    if tail:
+        cuts.add_tail()
+    return cuts.ends(len(cuts.pos) - 1), cuts.cost[-1]
 
 
 class Stream:
-    """Documents in, pieces of final windows out."""
+    """Documents in, pieces of final windows out.
 
-    def __init__(self, window: int, first_sequence: int) -> None:
-        self.window, self.sequence = window, first_sequence
+    A window leaves once the cheapest ways to every node of the last two windows agree on
+    it: whatever follows, it is one of the whole stream's cheapest cuts. ``open_windows``
+    bounds what waits for that; beyond it, the way to the last node is taken.
+    """
+
+    def __init__(self, window: int, first_sequence: int, window_cost: int = WINDOW_COST, open_windows: int = OPEN_WINDOWS) -> None:
+        self.window, self.sequence, self.open_windows = window, first_sequence, open_windows
         self.docs: deque[list] = deque()  # [id, ids, tokens that have left]
-        self.nodes: list[tuple[int, int]] = []
-        self.length = 0
+        self.cuts = Cuts(window, window_cost)
+        self.length = self.left = self.forced = 0  # tokens that came, tokens that left, cuts without proof
 
     def add(self, doc_id, ids: np.ndarray, nodes: list[tuple[int, int]]) -> None:
         self.docs.append([doc_id, ids, 0])
-        self.nodes += [(self.length + p, pen) for p, pen in nodes]
+        for p, pen in nodes:
+            self.cuts.add(self.length + p, pen)
         self.length += len(ids)
-        self.nodes.append((self.length, 0))
+        self.cuts.add(self.length, 0)
 
     def flush(self, final: bool) -> Iterator[tuple]:
         """(id, start, ids, document's tokens, sequence, offset) of the pieces of every window that is final."""
-        if not self.nodes:
-            return
-        ends, _ = cut(with_tail(self.nodes, self.window) if final else self.nodes, self.window)
-        ends = ends if final else ends[: max(1, len(ends) - KEEP)]
-        at = 0
-        for end in ends:
+        cuts = self.cuts
+        if final:
+            cuts.add_tail()
+            j = len(cuts.pos) - 1
+        else:
+            j = cuts.settled(self.length - 2 * self.window)
+            if self.length - cuts.pos[j] > self.open_windows * self.window:
+                self.forced += 1
+                j = len(cuts.pos) - 1
+        at = self.left
+        for end in cuts.ends(j):
             offset = 0
             while at < end:
                 doc = self.docs[0]
@@ -285,19 +379,31 @@ class Stream:
                 if doc[2] == len(doc[1]):
                     self.docs.popleft()
             self.sequence += 1
-        self.nodes = [(p - at, pen) for p, pen in self.nodes if p > at]
-        self.length -= at
+        self.left = at
+        cuts.forget(j)
+
+
+def pieces_of(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about BATCH_BYTES of text; a row of more is one of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < b.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES)))
+        yield b.slice(at, to - at)
+        at = to
 
 
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence long, offset long"
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, window: int = WINDOW, ids: bool = True) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, window: int = WINDOW, ids: bool = True, window_cost: int = WINDOW_COST, open_windows: int = OPEN_WINDOWS) -> DataFrame:
     """One row per piece, with the piece's token ids (array<int>) unless ``ids`` is false."""
+    penalties = {"window_cost": window_cost, "open_windows": open_windows}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        stream = Stream(window, (task.partitionId() if task else 0) << 32)
+        stream = Stream(window, (task.partitionId() if task else 0) << 32, **penalties)
+        flushed = 0
         words = WordTokenizer.of(tokenizer)
         end = np.array([end_id], dtype="<u4")
 
@@ -314,12 +420,12 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
             return pa.RecordBatch.from_arrays(cols, names)
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in pieces_of(b):
                 for doc_id, got in zip(part.column(0).to_pylist(), words.encode(part.column(1).to_pylist()), strict=True):
                     whole = np.concatenate((got, end))
                     stream.add(doc_id, whole, inner_nodes(whole, words.ends, min(GRID, window)))
-                    if stream.length >= FLUSH * window:
+                    if stream.length - flushed >= FLUSH * window:
+                        flushed = stream.length
                         yield batch(stream.flush(False))
         yield batch(stream.flush(True))
 

@@ -1,28 +1,33 @@
 """Operator 6, exact top-k search by an impact-ordered, score-at-a-time index.
 
-Components are integers, floor(256 * x). Rows go into blocks of about BLOCK rows by
-hash; each block is indexed in one task: the postings of a dimension, sorted by
-value, are cut into segments of one quantised level. For a query, segments are
-taken by descending impact (the most that one of their postings can add). After a
-batch of segments each row has bounds on its score: what it has, plus the extremes
-of the segments it may still stand in. A row whose upper bound is below the k-th
-largest lower bound is proven out; the rest, however many, are scored exactly.
-Processing stops when few rows are left, or when scoring the rest exactly costs
-less than more segments; either way the proof holds for all that were left out.
+Components are integers, floor(256 * x). Rows go into blocks of about CELLS components
+by hash; each block is indexed in one task: the postings of a dimension, sorted by
+value, are cut into segments of one quantised level. For a query, segments are taken by
+descending impact, the most that one of their postings can change a score, up or down.
+What is left of a dimension is then a range of values round zero, so after a batch of
+segments a row's score is at most what it has plus, for each dimension it still stands in, the
+most that range can add. The rows that lead are scored exactly; a row whose bound is
+below the k-th of those is proven out. Processing stops when at most a
+sixteenth of the block is not proven out, or no segment is left; those rows are scored exactly.
 
 Every block meets every query in pieces of at most QUERIES queries; its k best per
 query are merged by a ranking over (blocks * k) rows per query.
 
+Sums of integers below 2^53 are exact in doubles. Rows and queries with a component so
+large that this could fail stand outside the index and are scored in whole numbers of any size.
+
 Defined cases: rows with a null id, a null vector, or null or non-finite
-components take no part; a repeated id counts once, with its smallest vector;
-missing components of shorter vectors count as 0; components beyond +-2^23 are
-taken as that, so that all sums are exact; ties go to the smaller id; fewer than
-k candidates give fewer rows; an empty table, or one without queries, gives an
-empty result; extra columns are not read.
+components take no part; rows that repeat an id are rows of their own, as candidates
+and as queries; missing components of shorter vectors count as 0; ties go to the smaller
+id; a score beyond a long is ranked by its value (up to 38 digits) and returned as the
+nearest long; fewer than k candidates give fewer rows; an empty table, or one without
+queries, gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,107 +36,162 @@ from pyspark.sql import functions as F
 from .common import buckets_for, materialize
 
 SCALE = 256
-BLOCK = 4096
+CELLS = 1 << 18  # components of a block
 QUERIES = 4096
-LEVEL = 16  # quantised values per segment
-LIMIT = 1 << 23
-
-
-def quantised(vector: Column, scale: int = SCALE) -> Column:
-    """floor(scale * x) per component; null for a vector that takes no part."""
-    v = vector.cast("array<double>")
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(~bad, F.transform(v, lambda x: F.least(F.greatest(F.floor(F.lit(scale) * x), F.lit(-LIMIT)), F.lit(LIMIT)).cast("int")))
+LEVELS = 32  # quantised values on each side of zero
+LEADERS = 32
+LONG = (1 << 63) - 1
+FAR = 10**38 - 1
 
 
 class BlockIndex:
-    """Impact-ordered segments over a block of integer vectors."""
+    """Impact-ordered segments over a block of vectors of integers, all small enough for exact sums."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
         n, dims = x.shape
-        self.ids, self.x = ids, x.astype(np.float64)
+        self.ids, self.x, self.small = ids, x.astype(np.float64), x.astype(np.int32)
         order = np.argsort(x, axis=0, kind="stable")
-        values = np.take_along_axis(x, order, axis=0)
-        level = values // LEVEL
-        first = np.vstack([np.ones((1, dims), dtype=bool), level[1:] != level[:-1]])
+        values = np.take_along_axis(self.x, order, axis=0)
+        level = np.floor(values / max(1.0, np.ceil(np.abs(values).max(initial=0) / LEVELS)))
+        first = np.vstack([np.ones((min(n, 1), dims), dtype=bool), level[1:] != level[:-1]])
         # postings and segments of all dimensions, one dimension after the other
-        self.docs, self.values = order.T.ravel(), values.T.ravel().astype(np.float64)
+        self.docs, self.values = order.T.ravel().astype(np.int32), values.T.ravel()
         self.starts = np.flatnonzero(first.T.ravel())
         self.ends = np.append(self.starts[1:], n * dims)
         self.dims = self.starts // max(1, n)
         self.low, self.high = self.values[self.starts], self.values[self.ends - 1]
-        self.posting_dims = np.repeat(np.arange(dims), n)
+        self.size = np.maximum(np.abs(self.low), np.abs(self.high))
+        self.first = np.searchsorted(self.dims, np.arange(dims))
 
-    def search(self, own_id: int, q: np.ndarray, k: int, batch: int = 6, few: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best rows but the query's own, best first, ties to the smaller id."""
+    def search(self, own: int, q: np.ndarray, k: int, few: int | None = None) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """(positions, scores) of the k best rows but that at position own, best first, ties to the smaller id; rows scored exactly, postings processed."""
         n, dims = self.x.shape
-        w = q[self.dims]
-        top, least = np.maximum(w * self.low, w * self.high), np.minimum(w * self.low, w * self.high)
-        order = np.argsort(-top, kind="stable")
+        few = max(k, n // 16) if few is None else few
+        alive = np.delete(np.arange(n), own) if own >= 0 else np.arange(n)
+        processed, bar, score = 0, -np.inf, np.zeros(n)
+        # a query without components scores 0 everywhere
+        order = np.argsort(-np.abs(q[self.dims]) * self.size, kind="stable") if len(alive) > few else np.zeros(0, np.int64)
         sizes = (self.ends - self.starts)[order]
         done = np.cumsum(sizes)
-        others = self.ids != own_id
-        score = np.zeros(n)
-        taken: list[np.ndarray] = []
-        at, alive = 0, np.flatnonzero(others)
-        budget = batch * n
-        while at < len(order) and len(alive) > max(k, few) and budget <= 2 * batch * n:
-            to = int(np.searchsorted(done, budget)) + 1
-            part = order[at:to]
-            length = sizes[at:to]
-            rows = np.repeat(self.starts[part] - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
-            score += np.bincount(self.docs[rows], weights=self.values[rows] * q[self.posting_dims[rows]], minlength=n)
-            taken.append(rows)
-            at, budget = to, budget * 2
-            rest = order[at:]
-            most, fewest = np.full(dims, -np.inf), np.full(dims, np.inf)
-            np.maximum.at(most, self.dims[rest], top[rest])
-            np.minimum.at(fewest, self.dims[rest], least[rest])
-            most[most == -np.inf], fewest[fewest == np.inf] = 0, 0
-            seen = np.concatenate(taken)
-            docs, d = self.docs[seen], self.posting_dims[seen]
-            upper = score + most.sum() - np.bincount(docs, weights=most[d], minlength=n)
-            lower = np.where(others, score + fewest.sum() - np.bincount(docs, weights=fewest[d], minlength=n), -np.inf)
-            if others.sum() <= k:
-                break
-            proof = np.partition(lower, n - k)[n - k]
-            alive = np.flatnonzero(others & (upper >= proof))
+        is_open = np.ones(len(self.dims), dtype=bool)
+        at, budget, leaders = 0, 3 * n * dims // 8, np.zeros(0, np.int64)
+        while at < len(order) and len(alive) > few:
+            to = min(len(order), int(np.searchsorted(done, budget)) + 1)
+            part, length = order[at:to], sizes[at:to]
+            rows = np.repeat(self.starts[part] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+            score += np.bincount(self.docs[rows], weights=self.values[rows] * np.repeat(q[self.dims[part]], length), minlength=n)
+            processed, at, budget = processed + len(rows), to, budget + n * dims // 8
+            is_open[part] = False
+            low = np.minimum.reduceat(np.where(is_open, self.low, np.inf), self.first)
+            high = np.maximum.reduceat(np.where(is_open, self.high, -np.inf), self.first)
+            some = low <= high
+            low, high = np.where(some, low, 0), np.where(some, high, 0)
+            most = np.maximum(low * q, high * q)
+            lead = alive if len(alive) <= LEADERS + k else alive[np.argpartition(-score[alive], LEADERS + k)[: LEADERS + k]]
+            leaders = np.union1d(leaders, lead)
+            bar = max(bar, np.partition(self.x[lead] @ q, len(lead) - k)[len(lead) - k])
+            # a dimension without postings left adds 0, whatever the row has there
+            x = self.small if len(alive) > n // 2 else self.small[alive]
+            stands = (x - low.astype(np.int32)).view(np.uint32) <= (high - low).astype(np.uint32)
+            upper = score[alive] + (stands @ most if len(x) == len(alive) else (stands @ most)[alive])
+            alive = alive[upper >= bar]
         exact = self.x[alive] @ q
-        best = np.lexsort((self.ids[alive], -exact))[:k]
-        return self.ids[alive][best], exact[best]
+        best = np.lexsort((alive, self.ids[alive], -exact))[:k]
+        return alive[best], exact[best], len(np.union1d(alive, leaders)), processed
 
 
 def matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
-    """Integer vectors as rows, shorter ones filled with 0."""
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), dims), dtype=np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    """Vectors as rows of doubles, shorter ones filled with 0."""
+    lists = column.combine_chunks()
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(lists), dims))
+    end = np.cumsum(size)
+    out[np.repeat(np.arange(len(lists)), size), np.arange(end[-1] if len(end) else 0) - np.repeat(end - size, size)] = lists.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
-def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(query_id, rank, id, score): per query row the k rows of the largest inner product, rank from 1.
-
-    is_query: a condition on the column ``id``.
-    """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    rows = materialize(rows.groupBy("id").agg(F.min("v").alias("v")), "vectors")
+def whole(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as Python integers."""
+    return np.array([[int(v) * scale if abs(v) >= 1 << 52 else int(np.floor(scale * v)) for v in row] for row in x.tolist()], dtype=object).reshape(x.shape)
+
+
+class Block:
+    """A block's rows, those with small components in an index, and the rest beside it."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray, scale: int) -> None:
+        self.ids, self.rows, self.raw, self.scale = ids, rows, x, scale
+        with np.errstate(over="ignore"):
+            self.x = np.floor(scale * x)
+        self.limit = np.floor(np.sqrt((1 << 53) / max(1, x.shape[1])))
+        small = (np.abs(self.x) <= self.limit).all(1)
+        self.inside, self.outside = np.flatnonzero(small), np.flatnonzero(~small)
+        self.index = BlockIndex(ids[small], self.x[small])
+        self.place = {int(r): k for k, r in enumerate(rows[small].tolist())}
+        self.big = whole(x[~small], scale)
+
+    def search(self, row: int, x: np.ndarray, k: int) -> tuple[list[tuple[int, int]], int, int]:
+        """[(score, position)] of the k best rows but that of the query itself, rows scored exactly, and postings processed."""
+        with np.errstate(over="ignore"):
+            q = np.floor(self.scale * x)
+        if (np.abs(q) <= self.limit).all():
+            at, score, scored, processed = self.index.search(self.place.get(row, -1), q, k)
+            found = list(zip(map(int, score), self.inside[at].tolist(), strict=True))
+            if not len(self.outside):
+                return found, scored, processed
+        else:
+            scored, processed, q_all = len(self.inside), 0, whole(x[None, :], self.scale)[0]
+            found = [(int(s), p) for s, p in zip(whole(self.raw[self.inside], self.scale) @ q_all, self.inside.tolist(), strict=True)]
+        found += [(int(s), p) for s, p in zip(self.big @ whole(x[None, :], self.scale)[0], self.outside.tolist(), strict=True)]
+        found = sorted(((s, p) for s, p in found if self.rows[p] != row), key=lambda f: (-f[0], self.ids[f[1]], f[1]))
+        return found[:k], scored + len(self.outside), processed
+
+
+FOUND = "query_row long, query_id long, id long, score long, far decimal(38,0), scored long, postings long"
+
+
+def searched(df: DataFrame, is_query: Column, k: int, id_col: str, vector_col: str, scale: int) -> DataFrame:
+    """FOUND: every block's k best rows per query; the first of them has the block's work, which is 0 in the others."""
+    vector = F.col(vector_col)
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), vector.alias("v")).where(F.col("id").isNotNull() & ~F.coalesce(bad.alias("b"), F.lit(True)))
+    # written once, so that a row keeps its number
+    rows = materialize(rows.select("id", F.monotonically_increasing_id().alias("row"), F.col("v").cast("array<double>").alias("v")), "vectors")
     n, n_query, dims = rows.agg(F.count(F.lit(1)), F.count_if(is_query), F.max(F.size("v"))).first()
-    blocks, pieces, dims = buckets_for(n, BLOCK), buckets_for(n_query, QUERIES), int(dims or 0)
+    dims = max(1, int(dims or 0))
+    blocks, pieces = buckets_for(n, max(64, CELLS // dims)), buckets_for(n_query, QUERIES)
     # the query set against all rows, block by block: a row goes to every piece of queries, a query to every block
-    docs = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-    asks = rows.where(is_query).withColumn("p", F.pmod(F.xxhash64(F.lit("query"), "id"), F.lit(pieces)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    docs = rows.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(blocks))).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
+    # under names of its own: a cogroup loses columns that both sides have from one table
+    asks = rows.where(is_query).select(F.col("id").alias("q_id"), F.col("row").alias("q_row"), F.col("v").alias("q")).withColumn("p", F.pmod(F.xxhash64(F.lit("query"), "q_row"), F.lit(pieces)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple] = []
         if left.num_rows and right.num_rows:
-            index = BlockIndex(left["id"].to_numpy(), matrix(left["v"], dims))
-            for i, q in zip(right["id"].to_pylist(), matrix(right["v"], dims).astype(np.float64), strict=True):
-                ids, scores = index.search(i, q, k)
-                out += [(i, int(a), int(s)) for a, s in zip(ids, scores, strict=True)]
-        return pa.table({name: pa.array([r[c] for r in out], pa.int64()) for c, name in enumerate(("query_id", "id", "score"))})
-
-    found = docs.groupBy("b", "p").cogroup(asks.groupBy("b", "p")).applyInArrow(each, "query_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+            # in the order of rows, so that the result does not depend on how they came
+            left = left.sort_by("row")
+            block = Block(left["id"].to_numpy(), left["row"].to_numpy(), matrix(left["v"], dims), scale)
+            for row, i, q in zip(right["q_row"].to_pylist(), right["q_id"].to_pylist(), matrix(right["q"], dims), strict=True):
+                found, scored, postings = block.search(row, q, k)
+                for m, (s, p) in enumerate(found):
+                    far = None if abs(s) <= LONG else Decimal(max(-FAR, min(FAR, s)))
+                    out.append((row, i, int(block.ids[p]), max(-LONG - 1, min(LONG, s)), far, *((0, 0) if m else (scored, postings))))
+        kinds = [pa.int64()] * 4 + [pa.decimal128(38, 0), pa.int64(), pa.int64()]
+        names = ["query_row", "query_id", "id", "score", "far", "scored", "postings"]
+        return pa.table({name: pa.array([r[c] for r in out], t) for c, (name, t) in enumerate(zip(names, kinds, strict=True))})
+
+    return docs.groupBy("b", "p").cogroup(asks.groupBy("b", "p")).applyInArrow(each, FOUND)
+
+
+def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
+    """(query_id, rank, id, score): per query row the k rows of the largest inner product, rank from 1.
+
+    is_query: a condition on the column ``id``.
+    """
+    found = searched(df, is_query, k, id_col, vector_col, scale)
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.coalesce("far", F.col("score").cast("decimal(38,0)")).desc(), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
+def work(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
+    """(query_id, scored, postings): how many rows a search scores exactly, and how many postings it processes, over all blocks."""
+    return searched(df, is_query, k, id_col, vector_col, scale).groupBy("query_row", "query_id").agg(F.sum("scored").alias("scored"), F.sum("postings").alias("postings")).drop("query_row")

@@ -37,6 +37,7 @@ def check(df, docs):
         sizes[s] += n_words(t)
     want = targets(sizes)
     got = M.mix(df).collect()
+    assert len(got) == len(docs)
     assert Counter((r.id, r.size, r.source_size) for r in got) == Counter((i, n_words(t), sizes[s]) for i, t, s in docs)
     for r in got:
         assert r.target == pytest.approx(want[r.source], rel=1e-9, abs=1e-6)
@@ -59,6 +60,27 @@ def test_targets_are_met(spark):
     assert all(abs(taken[s] - t) <= 0.06 * t for s, t in want.items())
 
 
+def test_rows_without_ids_of_their_own_meet_the_targets(spark, monkeypatch):
+    """Null ids, one id in many rows, and rows that are equal in everything: each row has its own draw."""
+    monkeypatch.setattr(M, "ROWS_PER_BUCKET", 300)
+    r = random.Random(4)
+    docs = [(None, "w " * r.randint(1, 60), "ab"[k % 2]) for k in range(3000)] + [(7, "w " * r.randint(1, 60), "c") for k in range(2000)]
+    docs += [(8, "equal rows", "d")] * 2000 + [(None, None, "e")] * 10 + [(100 + k, "w " * r.randint(1, 60), "f") for k in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    sizes = defaultdict(int)
+    for _, t, s in docs:
+        sizes[s] += n_words(t)
+    want, taken = targets(sizes), defaultdict(int)
+    got = M.mix(df).collect()
+    assert Counter((x.id, x.size, x.source) for x in got) == Counter((i, n_words(t), s) for i, t, s in docs)
+    for x in got:
+        taken[x.source] += x.size * x.copies
+    assert all(abs(taken[s] - t) <= 0.06 * t for s, t in want.items()), (want, taken)
+    again = M.mix(df.repartition(7))
+    assert Counter(tuple(x) for x in got) == Counter(tuple(x) for x in again.collect())
+    assert Counter(x.doc_id for x in M.emit(df).select("doc_id").collect()) == +sum((Counter({x.id: x.copies}) for x in got), Counter())
+
+
 def test_reruns_and_partitionings_agree(spark):
     a, b = M.mix(odd_docs(spark)), M.mix(odd_docs(spark).repartition(1))
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
@@ -79,5 +101,5 @@ def test_empty_table(spark):
 
 
 def test_many_sources_are_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(M, "BROADCAST_SOURCES", 1)
+    monkeypatch.setattr(M, "BROADCAST_ROWS", 1)
     check(odd_docs(spark), [(i, t, s) for i, t, _, s, *_ in rows()])

@@ -108,3 +108,79 @@ def test_dynamic_programme_is_optimal():
         ends, cost = P.cut(nodes, window)
         assert cost == brute(nodes, window)
         assert ends[-1] == nodes[-1][0] and set(ends) <= {q for q, _ in nodes}
+
+
+def stream_of(docs, window, every, **how):
+    """The window ends of a stream that looks for final windows after every few documents."""
+    s, ends, pieces = P.Stream(window, 0, **how), {}, []
+    for k, (n, nodes) in enumerate(docs):
+        s.add(k, np.arange(n), nodes)
+        if (k + 1) % every == 0:
+            pieces += list(s.flush(False))
+    pieces += list(s.flush(True))
+    for _, _, ids, _, seq, offset in pieces:
+        ends[seq] = max(ends.get(seq, 0), offset + len(ids))
+    return np.cumsum([ends[k] for k in sorted(ends)]).tolist(), s, pieces
+
+
+def random_docs(r, window):
+    out = []
+    for _ in range(r.randint(1, 120)):
+        n = r.randint(1, 3 * window)
+        inner = sorted(set(r.sample(range(1, n + 1), r.randint(0, min(n, 6)))) | set(range(window // 2, n, window // 2)) - {n})
+        out.append((n, [(p, r.choice([2, 9])) for p in inner if p < n]))
+    return out
+
+
+@pytest.mark.parametrize("cost", [0, 3])
+def test_windows_that_leave_early_are_those_of_the_whole_stream(cost):
+    r = random.Random(8)
+    for _ in range(60):
+        window = r.choice([8, 16, 32])
+        docs = random_docs(r, window)
+        nodes, at = [], 0
+        for n, inner in docs:
+            nodes += [*((at + p, pen) for p, pen in inner), (at + n, 0)]
+            at += n
+        want, _ = P.cut(nodes, window, cost, tail=True)
+        got, s, pieces = stream_of(docs, window, r.randint(1, 9), window_cost=cost, open_windows=10_000)
+        assert got == want and s.forced == 0
+        assert sum(len(p[2]) for p in pieces) == at
+
+
+def test_open_windows_are_bounded():
+    r = random.Random(9)
+    docs = random_docs(r, 16) * 5
+    got, s, pieces = stream_of(docs, 16, 3, open_windows=2)
+    assert s.forced > 0 and got[-1] == sum(n for n, _ in docs) and max(np.diff([0, *got])) <= 16
+    assert [(p[0], p[1]) for p in pieces] == sorted((p[0], p[1]) for p in pieces)
+
+
+def test_tail_nodes_change_only_the_last_windows():
+    """Adding them to the programme gives what it gives with them from the start."""
+    r = random.Random(10)
+    for _ in range(200):
+        window = r.choice([8, 16])
+        nodes, p = [], 0
+        for _ in range(r.randint(1, 30)):
+            p += r.randint(1, window)
+            nodes.append((p, r.choice([0, 0, 3])))
+        end, rest, q, more = p, p % window, p, dict(nodes)
+        for k in range(window.bit_length()):
+            if rest >> k & 1:
+                q -= 1 << k
+                if q > 0:
+                    more.setdefault(q, P.HARD_PENALTY)
+        assert P.cut(nodes, window, 1, tail=True)[1] == P.cut(sorted(more.items()), window, 1)[1]
+        assert P.cut(nodes, window, 1, tail=True)[0][-1] == end
+
+
+def test_words_that_were_forgotten_are_learnt_again(reference, monkeypatch):
+    monkeypatch.setattr(P, "RECENT_WORDS", 20)
+    monkeypatch.setattr(P, "RECENT_PARTS", 10)
+    words = P.WordTokenizer(PATH)
+    for k in range(30):
+        t = [prose(k % 7, 60), "", None, f"naïve{k} x{k}.  ", " "]
+        for a, b in zip(words.encode(t), t, strict=True):
+            assert a.tolist() == reference.encode(b or "", add_special_tokens=False).ids
+    assert len(words.words.keys) <= 300
