@@ -4,24 +4,27 @@ Each page becomes three records that name the page's response (or revisit) recor
 in WARC-Concurrent-To. Reading joins the records of one transaction through those
 identifiers and emits one nested row per capture.
 
-The archives are plain WARC 1.1 text files. Spark's own text writer and binary
-reader move them, so they may lie in any store that Spark reaches: a record ends
-in two line breaks, which is the writer's line separator. The reader goes by
-Content-Length alone, so payloads may hold anything, separators included.
+The archives are WARC 1.1 files, gzipped. Spark's own text writer and reader move them,
+so they may lie in any store that Spark reaches: a record ends in two line breaks, which
+are the line separator of both. The reader puts the lines of a file together
+again and goes by Content-Length alone, so payloads may hold anything, separators
+included. A file is read as a stream, by one task, since it is gzipped; a task holds one
+record at a time, however long its file is.
 
 Of records with equal payloads of at least ``least`` bytes, that with the largest
 id is the response and the others revisit it. Defined cases: a null payload is
 empty; rows that tie at the largest id with equal payloads are each a response;
-rows with a null id are responses, and are never revisited; rows that repeat an
-id are told apart by the hash of their url and by a number among equal ones;
-extra columns are neither read nor returned; an empty table makes an empty archive.
+rows with a null id are responses, and are never revisited; rows that are equal in id,
+url and payload are captures of their own, told apart by a number; names of records are the
+same in every run; extra columns are neither read nor returned; an empty table makes
+an empty archive.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +34,9 @@ from .common import map_arrow, materialize
 
 EOL = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
-#: Records of one archive file at most: the reader takes a file at a time.
-FILE_RECORDS = 6_000
+SEPARATOR = EOL + EOL
+#: Records of one archive file at most, so that there are files enough to read side by side.
+FILE_RECORDS = 30_000
 
 
 def digests(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -60,6 +64,20 @@ def urn(*parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
+def numbered(pages: DataFrame, per: DataFrame) -> DataFrame:
+    """pages with ``number``: 0, or a number among rows that are equal in id, url and digest. per has their counts, as n.
+
+    Equal rows are brought together as one row and a count, however many they are.
+    """
+    again = materialize(per.where("n > 1").select(F.col("digest").alias("__digest"), F.col("id").alias("__id"), F.col("url").alias("__url")), "again")
+    if again.isEmpty():
+        return pages.withColumn("number", F.lit(0))
+    same = (F.col("digest") == F.col("__digest")) & F.col("id").eqNullSafe(F.col("__id")) & F.col("url").eqNullSafe(F.col("__url"))
+    many = pages.join(again, same, "left_semi").groupBy("id", "url", "digest").agg(F.first("payload").alias("payload"), F.first("bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    many = many.withColumn("number", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
+    return pages.join(again, same, "left_anti").withColumn("number", F.lit(0)).unionByName(many)
+
+
 def write_archives(df: DataFrame, path: str, least: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """Write three records per row into WARC files under path.
 
@@ -68,14 +86,15 @@ def write_archives(df: DataFrame, path: str, least: int = 0, id_col: str = "page
     one row on the other side, so adaptive execution may split it.
     """
     pages = digests(df, id_col, url_col, payload_col)
-    per = pages.where(F.col("bytes") >= least).groupBy("digest", "id").agg(F.count(F.lit(1)).alias("n"))
-    per = per.groupBy("digest").agg(F.sum("n").alias("all"), F.max(F.struct("id", "n")).alias("top")).where("all > 1 AND top.id IS NOT NULL")
-    keep = materialize(per.select("digest", F.col("top.id").alias("last"), (F.col("top.n") == 1).alias("sole")), "digests")
-    pages = pages.join(keep, "digest", "left")
+    per = materialize(pages.groupBy("digest", "id", "url").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes")), "captures")
+    keep = per.where(F.col("bytes") >= least).groupBy("digest", "id").agg(F.sum("n").alias("n"))
+    keep = keep.groupBy("digest").agg(F.sum("n").alias("all"), F.max(F.struct("id", "n")).alias("top")).where("all > 1 AND top.id IS NOT NULL")
+    keep = materialize(keep.select("digest", F.col("top.id").alias("last"), (F.col("top.n") == 1).alias("sole")), "digests")
+    pages = numbered(pages, per).join(keep, "digest", "left")
     again = F.coalesce((F.col("id") < F.col("last")) & (F.col("bytes") >= least), F.lit(False))
-    # a response that is alone at the largest id has a name that its revisits can refer to; others differ by a number
+    # a response that is alone at the largest id has a name that its revisits can refer to
     sole = (F.col("id") == F.col("last")) & F.col("sole")
-    own = F.when(sole, urn(F.lit("response"), F.col("id"), F.col("digest"))).otherwise(urn(F.lit("capture"), F.col("id"), F.col("url"), F.col("digest"), F.monotonically_increasing_id()))
+    own = F.when(sole, urn(F.lit("response"), F.col("id"), F.col("digest"))).otherwise(urn(F.lit("capture"), F.col("id"), F.col("url"), F.col("digest"), F.col("number")))
     c = F.col
     pages = pages.withColumn("again", again).withColumn("name", own).withColumn("uri", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20]", ""))
     uri = F.when(c("uri") != "", c("uri"))
@@ -91,24 +110,49 @@ def write_archives(df: DataFrame, path: str, least: int = 0, id_col: str = "page
     fields = F.concat_ws(EOL, F.concat(F.lit("page-id: "), c("id").cast("string")), F.concat(F.lit("payload-length: "), c("bytes").cast("string")), F.lit(""))
     metadata = record("metadata", [("WARC-Record-ID", urn(F.lit("metadata"), c("name"))), ("WARC-Target-URI", uri), ("WARC-Concurrent-To", c("name"))], fields, "application/warc-fields")
     out = pages.select(F.explode(F.array(request, F.when(c("again"), revisit).otherwise(response), metadata)).alias("value"))
-    out.write.option("lineSep", EOL + EOL).option("maxRecordsPerFile", FILE_RECORDS).text(path)
-
-
-def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of every record of an archive."""
-    at = 0
-    while at < len(raw):
-        end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:end].decode().split(EOL)
+    out.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+
+
+def parse(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of every record of archives that come in chunks."""
+    have = bytearray()
+    chunks = iter(chunks)
+
+    def more() -> bool:
+        got = next(chunks, None)
+        have.extend(got or b"")
+        return got is not None
+
+    at = 0  # what stands before it in have is done with
+    while True:
+        # line breaks that end a record; the last line of a file comes with one separator too many
+        while at == len(have) or have[at] in b"\r\n":
+            if at < len(have):
+                at += 1
+            else:
+                have.clear()
+                at = 0
+                if not more():
+                    return
+        while (end := have.find(SEPARATOR.encode(), at)) < 0:
+            if not more():
+                raise ValueError("an archive ends within a header")
+        lines = have[at:end].decode().split(EOL)
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"no record at {lines[0][:40]!r}")
         head = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        start = end + 4
         n = int(head["content-length"])
-        yield head, raw[end + 4 : end + 4 + n]
-        at = end + 4 + n
-        if raw[at : at + 4] != EOL.encode() * 2:
-            raise ValueError(f"the record before byte {at} is longer or shorter than it says")
-        at += 4
+        while len(have) < start + n + 4:
+            if not more():
+                raise ValueError("an archive ends within a record")
+        if have[start + n : start + n + 4] != SEPARATOR.encode():
+            raise ValueError(f"the record {head.get('warc-record-id')} is longer or shorter than it says")
+        yield head, bytes(have[start : start + n])
+        at = start + n + 4
+        if at > 1 << 20:
+            del have[:at]
+            at = 0
 
 
 RECORDS = "kind string, record_id string, transaction string, uri string, digest string, refers_page long, http string, fields string, payload binary"
@@ -120,25 +164,24 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "record_id", "transaction", "uri", "digest", "refers_page", "http", "fields", "payload"]
         types = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.string(), pa.binary()]
-        for b in batches:
-            for raw in b.column(0):
-                rows: list[tuple] = []
-                size = 0
-                for h, block in parse(raw.as_py()):
-                    kind = h["warc-type"]
-                    http, body = (block.split(b"\r\n\r\n", 1) + [b""])[:2] if kind != "metadata" else (b"", b"")
-                    last = h.get("warc-refers-to-page")
-                    rows.append((kind, h["warc-record-id"], h.get("warc-concurrent-to", h["warc-record-id"]), h.get("warc-target-uri"), h.get("warc-payload-digest"), int(last) if last else None,
-                                 http.decode("utf-8", "replace"), block.decode() if kind == "metadata" else None, body if kind == "response" else None))
-                    size += len(block)
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(each, RECORDS)
+        sep = SEPARATOR.encode()
+        lines = (line.encode() + sep for b in batches for line in b.column(0).to_pylist())
+        rows: list[tuple] = []
+        size = 0
+        for h, block in parse(lines):
+            kind = h["warc-type"]
+            http, body = (block.split(sep, 1) + [b""])[:2] if kind != "metadata" else (b"", b"")
+            last = h.get("warc-refers-to-page")
+            rows.append((kind, h["warc-record-id"], h.get("warc-concurrent-to", h["warc-record-id"]), h.get("warc-target-uri"), h.get("warc-payload-digest"), int(last) if last else None,
+                         http.decode("utf-8", "replace"), block.decode() if kind == "metadata" else None, body if kind == "response" else None))
+            size += len(block) + 500
+            if size > 8 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return spark.read.option("lineSep", SEPARATOR).text(path).mapInArrow(each, RECORDS)
 
 
 def verified(records: DataFrame) -> DataFrame:

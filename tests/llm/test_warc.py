@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -75,15 +76,42 @@ def test_query(spark, tmp_path):
 
 def test_record_boundaries_are_checked():
     good = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <a>\r\nContent-Length: 4\r\n\r\nab: "
-    assert [h["content-length"] for h, _ in W.parse((good + b"\r\n\r\n") * 2)] == ["4", "4"]
-    for bad in (good + b"x\r\n\r\n", b"junk\r\n\r\n"):
+    end = b"\r\n\r\n"
+    for chunks in ([(good + end) * 2], [good + end, good + end], [good, end, good, end, end], [bytes([c]) for c in (good + end) * 2]):
+        assert [(h["content-length"], b) for h, b in W.parse(chunks)] == [("4", b"ab: ")] * 2
+    assert list(W.parse([])) == []
+    for bad in (good + b"x" + end, b"junk" + end, good, good[:20], good[:-1] + end):
         try:
-            list(W.parse(bad))
+            list(W.parse([bad]))
         except (ValueError, KeyError):
             continue
         raise AssertionError(bad)
 
 
+def test_any_payload_comes_back(spark):
+    """Line breaks in any mixture, and pages that are longer than any buffer of the reader."""
+    r = random.Random(6)
+    bits = ["\r", "\n", "\r\n", "\r\n\r\n", "\n\n", "a", "é", "WARC/1.1\r\nContent-Length: 2\r\n\r\n", " "]
+    docs = [(k, "http://h.example/" + str(k), "".join(r.choices(bits, k=r.randint(0, 12)))) for k in range(400)]
+    docs += [(1000 + k, "u", "".join(r.choices(bits, k=300_000)) + str(k)) for k in range(12)]
+    df = spark.createDataFrame(docs, "page_id long, url string, html string").repartition(3)
+    got, at = assembled(spark, df)
+    out = got.collect()
+    assert len(out) == len(docs) and all(x.response.intact for x in out if x.response.kind == "response")
+    payloads = W.read_records(spark, at).where("kind = 'response'").select("payload").collect()
+    assert {bytes(p.payload).decode() for p in payloads} == {h for _, _, h in docs}
+
+
+def test_record_names_do_not_depend_on_partitions(spark):
+    df, _ = pages(spark)
+    names = []
+    for d in (df, df.repartition(1), df.repartition(5)):
+        at = shared_path(spark, "warc")
+        W.write_archives(d, at)
+        names.append(sorted(x.record_id for x in W.read_records(spark, at).select("record_id").collect()))
+    assert names[0] == names[1] == names[2] and len(set(names[0])) == len(names[0]) == 42
+
+
 def test_names_are_the_same_in_every_run(spark):
     a = spark.range(1).select(W.urn(F.lit("response"), F.lit(5), F.lit("x"))).first()[0]
     assert a == spark.range(1).select(W.urn(F.lit("response"), F.lit(5), F.lit("x"))).first()[0] and a.startswith("<urn:uuid:")
