@@ -7,7 +7,10 @@ budgets are an equi-join (one segment equal, the next equal or one bit away); th
 longer chains and the full distance are bit counts on the joined pairs.
 
 A key with more than ``hot`` distinct fingerprints would make pairs with the square
-of its size. Fingerprints of such keys are linked without pairs instead, and
+of its size. Fingerprints that meet such a key are split by the next segment of their chain,
+with a budget of 2 over the segments after the first: both sides go to their 27 keys
+of at most one bit away, and two within that budget share one. Keys that are
+still full hold fingerprints that truly crowd together. Those are linked without pairs, and
 exactly: two of them are within 4 bits if and only if they share a point within 2
 bits of both, and all that share a point are within 4 bits of each other. So each
 goes to its 2,081 points, and a point links its fingerprints (2,081 at most) in a star.
@@ -21,7 +24,7 @@ rows stay; extra columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,6 +41,8 @@ DISTANCE = 4
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (low bit, bits)
 SHINGLE = 4
 HOT = 64
+START_AT = 40  # a key's bits are below, the number of its first segment above
+SALTS = 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -71,23 +76,28 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mask(k: int) -> int:
     """Bits of segment k of the ring, as a signed long."""
     low, n = SEGMENTS[k % len(SEGMENTS)]
-    m = ((1 << n) - 1) << low
-    return m - (1 << 64) if m >> 63 else m
+    return signed(((1 << n) - 1) << low)
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def keys(fp: Column, variants: bool) -> Column:
-    """The ring keys of a fingerprint: per start, segment i and i + 1; with variants also those one bit away in i + 1."""
-    out = []
-    for i in range(len(SEGMENTS)):
-        both = fp.bitwiseAND(F.lit(mask(i) | mask(i + 1)).cast("long"))
-        low, n = SEGMENTS[(i + 1) % len(SEGMENTS)]
-        flips = [0, *(signed(1 << (low + k)) for k in range(n))] if variants else [0]
-        out += [F.struct(F.lit(i).cast("byte").alias("start"), both.bitwiseXOR(F.lit(f).cast("long")).alias("part")) for f in flips]
-    return F.array(*out)
+def ring_keys(fp: Column, start: int, length: int, flips: bool) -> Column:
+    """The bits of ``length`` segments from ``start`` on, below the start's number; with flips also those one bit away behind the first segment."""
+    low, n = SEGMENTS[start]
+    bits = [SEGMENTS[(start + k) % len(SEGMENTS)][1] for k in range(length)]
+    turned = fp if low == 0 else F.shiftrightunsigned(fp, low).bitwiseOR(F.shiftleft(fp, 64 - low))
+    key = turned.bitwiseAND(F.lit((1 << sum(bits)) - 1).cast("long")).bitwiseOR(F.lit(start << START_AT).cast("long"))
+    return F.array(*[key.bitwiseXOR(F.lit(f).cast("long")) for f in (0, *(1 << k for k in range(n, sum(bits) if flips else n)))])
+
+
+def starts(keys: Callable[[int], Column]) -> Column:
+    return F.flatten(F.array(*map(keys, range(len(SEGMENTS)))))
+
+
+def start_of(key: str) -> Column:
+    return F.shiftright(key, START_AT).cast("int")
 
 
 def chain_holds(x: Column, y: Column, start: Column) -> Column:
@@ -100,7 +110,7 @@ def chain_holds(x: Column, y: Column, start: Column) -> Column:
         for i in range(m):
             for k in range(length):
                 masks[i] |= mask(i + k)
-        at = F.element_at(F.array(*[F.lit(v).cast("long") for v in masks]), start.cast("int") + 1)
+        at = F.element_at(F.array(*[F.lit(v).cast("long") for v in masks]), start + 1)
         ok = ok & (F.bit_count(diff.bitwiseAND(at)) <= DISTANCE * length // m)
     return ok
 
@@ -110,42 +120,62 @@ def points() -> list[int]:
     return [signed(sum(1 << b for b in bits)) for r in range(DISTANCE // 2 + 1) for bits in combinations(range(64), r)]
 
 
+def met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Links (u, v) between fingerprints that share a key: left is (key, x), right (key, y)."""
+    return left.join(right, "key").where("x < y").where(chain_holds(F.col("x"), F.col("y"), start_of("key"))).select(F.col("x").alias("u"), F.col("y").alias("v"))
+
+
+def full(keyed: DataFrame, hot: int) -> DataFrame:
+    return materialize(keyed.groupBy("key").count().where(F.col("count") > hot).select("key"), "hotkeys")
+
+
 def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     """Edges (u, v) between distinct fingerprints whose components are those of all links within DISTANCE."""
-    index = nodes.select("fp", F.explode(keys(F.col("fp"), False)).alias("k")).select(F.col("k.start").alias("start"), F.col("k.part").alias("part"), F.col("fp").alias("y"))
-    probe = nodes.select("fp", F.explode(keys(F.col("fp"), True)).alias("k")).select(F.col("k.start").alias("start"), F.col("k.part").alias("part"), F.col("fp").alias("x"))
-    heavy = materialize(index.groupBy("start", "part").count().where(F.col("count") > hot).select("start", "part"), "hotkeys")
-    cold = index.join(heavy, ["start", "part"], "left_anti")
-    pairs = probe.join(cold, ["start", "part"]).where("x < y").where(chain_holds(F.col("x"), F.col("y"), F.col("start"))).select(F.col("x").alias("u"), F.col("y").alias("v"))
+    # a fingerprint becomes dozens of rows: they are dealt out before that
+    nodes = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    index = nodes.select(F.col("fp").alias("y"), F.explode(starts(lambda i: ring_keys(F.col("fp"), i, 2, False))).alias("key"))
+    probe = nodes.select(F.col("fp").alias("x"), F.explode(starts(lambda i: ring_keys(F.col("fp"), i, 2, True))).alias("key"))
+    heavy = full(index, hot)
+    if heavy.isEmpty():
+        return met(probe, index)
+    pairs = met(probe, index.join(heavy, "key", "left_anti"))
+    crowd = probe.join(heavy, "key", "left_semi").select("x", start_of("key").alias("start")).distinct()
+    longer = F.element_at(F.array(*[ring_keys(F.col("x"), i, 3, True) for i in range(len(SEGMENTS))]), F.col("start") + 1)
+    keyed = materialize(crowd.select("x", F.explode(longer).alias("key")), "longer")
+    heavy = full(keyed, hot)
+    cold = keyed.join(heavy, "key", "left_anti")
+    pairs = pairs.union(met(cold, cold.withColumnRenamed("x", "y")).distinct())
     if heavy.isEmpty():
         return pairs
-    crowd = probe.join(heavy, ["start", "part"], "left_semi").select("x").distinct()
+    crowd = keyed.join(heavy, "key", "left_semi").select("x").distinct()
     near = F.expr(f"transform(array({','.join(f'{p}L' if p != -(1 << 63) else '-9223372036854775807L - 1L' for p in points())}), p -> x ^ p)")
     stars = crowd.select("x", F.explode(near).alias("p")).groupBy("p").agg(F.collect_list("x").alias("xs"), F.min("x").alias("v")).where(F.size("xs") > 1)
     return pairs.union(stars.select(F.explode("xs").alias("u"), "v").where("u <> v").distinct())
 
 
 def component_roots(fps: DataFrame, hot: int = HOT) -> DataFrame:
-    """(fp, root) for every distinct fingerprint of the column fp; root is one fingerprint of the component."""
+    """(fp, root) for the distinct fingerprints of the column fp that have links; root is one fingerprint of the component."""
     nodes = materialize(fps.select("fp").distinct(), "nodes")
-    roots = connected_components(links(nodes, hot))
-    return nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return connected_components(links(nodes, hot)).select(F.col("node").alias("fp"), "root")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """(id, fp, component): one row per input row, component the smallest id linked to it over any number of links."""
     docs = materialize(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    roots = materialize(component_roots(docs, hot), "roots")
-    first = docs.groupBy("fp").agg(F.min("id").alias("first"))
-    least = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("component"))
-    named = materialize(roots.join(least, "root").select("fp", "component"), "named")
+    first = materialize(docs.groupBy("fp").agg(F.min("id").alias("first")), "first")
+    roots = materialize(component_roots(docs, hot).join(first, "fp"), "roots")
+    # a component may hold most fingerprints: its root's name goes to every salt, and its fingerprints to one each
+    salted = roots.select("fp", "root", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt"))
+    least = roots.groupBy("root").agg(F.min("first").alias("component")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    named = salted.join(least, ["root", "salt"]).select("fp", "component")
+    named = materialize(first.join(named, "fp", "left").select("fp", F.coalesce("component", "first").alias("component")), "named")
     return docs.join(named, "fp").select("id", "fp", "component")
 
 
 def keep_first(rows: DataFrame, short: DataFrame, roots: DataFrame, row: str) -> DataFrame:
-    """rows whose number, in the column row, is that of the smallest id of a root; short is (id, fp, row), roots (fp, root)."""
+    """rows whose number, in the column row, is that of the smallest id of a component; short is (id, fp, row), roots (fp, root) of the nodes that have links."""
     first = short.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first"))
-    stay = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    stay = first.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
     # rows are dealt out by number at every size: what stays grows with the rows, and is never sent to all tasks
     return rows.join(materialize(stay, "stay").hint("shuffle_hash"), row, "left_semi")
 

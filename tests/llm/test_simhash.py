@@ -88,12 +88,26 @@ def test_links_of_random_fingerprints(spark):
             fps.append(x)
             for b in r.sample(range(64), r.randint(0, 5)):
                 x ^= 1 << b
+    # keys of two segments that many share, of which few are near one another, and many near one point
+    for start, n in ((0, 26), (26, 26), (52, 25)):
+        own = r.getrandbits(26)
+        for _ in range(25):
+            x = 0
+            for k in range(64):
+                x |= (own >> k & 1 if k < n else r.getrandbits(1)) << (start + k) % 64
+            fps += [x, x ^ 1 << r.randrange(64) ^ 1 << r.randrange(64) ^ 1 << r.randrange(64)]
+    middle = r.getrandbits(64)
+    for _ in range(40):
+        x = middle
+        for b in r.sample(range(64), r.randint(0, 3)):
+            x ^= 1 << b
+        fps.append(x)
     df = spark.createDataFrame([(S.signed(x),) for x in fps], "fp long")
-    for hot in (64, 1):
+    for hot in (64, 20, 8, 1):
         got = {r_.fp & (1 << 64) - 1: r_.root for r_ in S.component_roots(df, hot).collect()}
         want = brute(list(enumerate(fps)))
         classes, mine = {}, {}
-        for (_, f, c), g in ((w, got[w[1]]) for w in want):
+        for (_, f, c), g in ((w, got.get(w[1], w[1])) for w in want):
             classes.setdefault(c, set()).add(f)
             mine.setdefault(g, set()).add(f)
         assert sorted(map(sorted, classes.values())) == sorted(map(sorted, mine.values()))
