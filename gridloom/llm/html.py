@@ -4,10 +4,10 @@
    headers, footers, sidebars, adverts, notices, forms and reader comments left out.
 2. A page with an article (or main) element is that element's lines.
 3. In any other page, structure can't tell template from text. Such pages stand in
-   the order of host, URL path and id; each is paired with the neighbour in order
+   the order of host, URL path and id, without empty ones, and pages of a host with
+   the same lines once; each is paired with the neighbour in order
    that shares the longer path on the same host. The lines of the two are aligned by
-   their longest common subsequence, and the shared ones are deleted. A pair that
-   shares all lines of either is one text at two addresses; nothing is deleted.
+   their longest common subsequence, and the shared ones are deleted.
 
 Differencing is kept to pages of kind 3, because articles that quote or copy one
 another share lines that are no template.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import in_order, map_arrow, materialize
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>|<[!?/][^>]*+>?|[^<]++|<""", re.DOTALL)
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math", "object", "canvas", "audio", "video", "select"}
+RAW = {"script", "style", "textarea", "title", "template", "iframe", "xmp", "noembed", "noframes", "select"}
 RAW_END = {t: re.compile(rf"</{t}(?![A-Za-z0-9-])[^>]*>", re.IGNORECASE) for t in RAW}
 DROP = {"nav", "footer", "header", "aside", "form", "head", "menu", "dialog", "button", "fieldset", "label"}
 BLOCK = {"address", "article", "blockquote", "body", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr",
@@ -46,8 +46,16 @@ NOISE = re.compile(
 )
 
 
-def noisy(attributes: str) -> bool:
-    return any(NOISE.search(a or b or c) for a, b, c in CLASS.findall(attributes))
+#: Inside an article a section may well be about a search or related work: there, fewer words count, and most only as a whole name.
+NOISE_INSIDE = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsored|cookies?|consent|newsletter|comments?|disqus)(?=$|[\s_-])"
+    r"|(?:^|\s)(?:sponsor|promo|promotion|banner|gdpr|notices?|popup|modal|subscribe|signup|login|sidebar|side-bar|menus?|nav|navbar|navigation|breadcrumbs?|footer|share|sharing|social|replies|respond|widget|pagination|pager)(?=$|\s)",
+    re.IGNORECASE,
+)
+
+
+def noisy(attributes: str, inside: bool = False) -> bool:
+    return any((NOISE_INSIDE if inside else NOISE).search(a or b or c) for a, b, c in CLASS.findall(attributes))
 
 
 def blocks(page: str) -> tuple[list[str], list[str], bool]:
@@ -107,7 +115,7 @@ def blocks(page: str) -> tuple[list[str], list[str], bool]:
                     _, d, a = stack.pop()
                     dropped -= d
                     main -= a
-            drop = tag in DROP and not (tag == "header" and main) or tag not in ("html", "body") and bool(m[3]) and noisy(m[3])
+            drop = tag in DROP and not (tag == "header" and main) or tag not in ("html", "body") and bool(m[3]) and noisy(m[3], main > 0)
             is_main = is_main and not drop and not dropped
             found |= is_main
             stack.append((tag, drop, is_main))
@@ -145,10 +153,8 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def own_lines(lines: list[str], other: list[str]) -> list[str]:
-    """lines without those shared with the paired page; all of them if the pair is one text."""
+    """lines without those shared with the paired page."""
     shared = common_lines(lines, other)
-    if len(shared) in (len(lines), len(other)):
-        return lines
     return [x for k, x in enumerate(lines) if k not in shared]
 
 
@@ -179,7 +185,7 @@ SPAN = 64
 
 
 def differenced(pages: DataFrame) -> DataFrame:
-    """pages (id, url, host, path, lines) with the lines shared with each one's nearest URL deleted.
+    """(host, text, lines): pages (id, url, host, path, lines, text) with the lines shared with each one's nearest URL deleted.
 
     Pages are numbered in order, and go in runs of SPAN to a task, each run with the
     page before and the page after it: a host of any size is many runs.
@@ -191,22 +197,33 @@ def differenced(pages: DataFrame) -> DataFrame:
 
     def each(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__at", kind="stable")
-        rows = list(pdf[["id", "url", "host", "path", "lines", "__at"]].itertuples(index=False, name=None))
+        rows = list(pdf[["host", "text", "path", "lines", "__at"]].itertuples(index=False, name=None))
         out = []
-        for k, (i, url, host, path, lines, at) in enumerate(rows):
+        for k, (host, text, path, lines, at) in enumerate(rows):
             if at // SPAN != key[0]:
                 continue
-            near = [rows[j] for j in (k - 1, k + 1) if 0 <= j < len(rows) and host and rows[j][2] == host]
+            near = [rows[j] for j in (k - 1, k + 1) if 0 <= j < len(rows) and rows[j][0] == host]
             own = list(lines)
             if near:
                 # the first of equals: the page before
-                other = max(near, key=lambda r: shared_path(path, r[3]))
-                own = own_lines(own, list(other[4]))
-            out.append((i, url, own))
-        ids = pd.array([r[0] for r in out], dtype="Int64")
-        return pd.DataFrame({"id": ids, "url": pd.Series([r[1] for r in out], dtype=object), "lines": pd.Series([r[2] for r in out], dtype=object)})
+                other = max(near, key=lambda r: shared_path(path, r[2]))
+                own = own_lines(own, list(other[3]))
+            out.append((host, text, own))
+        return pd.DataFrame({c: pd.Series([r[k] for r in out], dtype="int64" if c == "text" else object) for k, c in enumerate(("host", "text", "lines"))})
+
+    return n.groupBy("__run").applyInPandas(each, "host string, text long, lines array<string>")
+
 
-    return n.groupBy("__run").applyInPandas(each, "id long, url string, lines array<string>")
+def told_apart(pages: DataFrame) -> DataFrame:
+    """(id, url, lines) of pages without an article: differencing goes by the first page of each text of a host, and its copies get what it gets."""
+    pages = pages.withColumn("text", F.xxhash64("lines"))
+    some = pages.where("size(lines) > 0 AND host <> ''")
+    first = some.groupBy("host", "text").agg(F.min(F.struct("path", "id", "url", "lines")).alias("p")).select("p.id", "p.url", "host", "p.path", "p.lines")
+    # written first: its number names a text from here on
+    first = materialize(first.withColumn("text", F.xxhash64("lines")), "texts")
+    own = differenced(first).select("host", "text", F.col("lines").alias("own"))
+    got = pages.join(own, ["host", "text"], "left")
+    return got.select("id", "url", F.coalesce("own", "lines").alias("lines"))
 
 
 def shared_path(a: str, b: str) -> int:
@@ -224,5 +241,5 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     pages = materialize(parsed(df, id_col, url_col, html_col), "pages")
     sure = pages.where("sure").select("id", "url", "lines")
     unsure = pages.where("NOT sure").select("id", "url", "host", "path", "lines")
-    both = sure if unsure.isEmpty() else sure.union(differenced(unsure))
+    both = sure if unsure.isEmpty() else sure.union(told_apart(unsure))
     return both.select("id", "url", "lines", F.array_join("lines", "\n").alias("text"))

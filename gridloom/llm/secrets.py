@@ -32,7 +32,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: What the models look at: runs of these characters, of at least MIN_RUN, that hold a letter and a digit.
+#: What the models look at: all runs of these characters that are no number.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CODE = np.full(128, len(ALPHABET), dtype=np.int64)
@@ -86,12 +86,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterable[re.Match]:
-    """Runs that hold a letter and a digit and touch no base span."""
+    """Runs that touch no base span and hold a letter: digits alone are a number."""
     for m in RUN.finditer(text):
-        s = m[0]
-        if not s.isalpha() and not s.isdigit() and any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
-            if not any(a < m.end() and m.start() < b for a, _, b in base):
-                yield m
+        if not m[0].isdigit() and any(c.isalpha() for c in m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base):
+            yield m
 
 
 def scan_text(text: str, model: MarkovModel | None, threshold: float) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -168,7 +166,7 @@ def training_samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             base = base_spans(text or "")
             out += [(text[a:e], True) for a, k, e in base if k]
             words = [m[0] for m in ORDINARY.finditer(text or "") if not any(a < m.end() and m.start() < e for a, _, e in base)]
-            out += [(w, False) for w in words[:: max(1, len(words) // 200)]]
+            out += [(w, False) for w in words[:: -(-len(words) // 200) or 1]]
         return pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.string()), pa.array([r for _, r in out], pa.bool_())], ["s", "random"])
 
     chosen = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")

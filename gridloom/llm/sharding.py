@@ -12,7 +12,9 @@ How the quota is held:
 * In a round, the share of movers that fits into a shard's free bytes moves. Whole
   groups move or stay, by a hash; a group of over a quarter of a shard moves by
   document, and aims at as many shards as it needs.
-* The rest is ordered by hash, and cut where the running sum of bytes meets the
+* What stands above a quota leaves again, and so do groups that are still apart: groups of at
+  most TOGETHER documents whole. They and
+  the documents without links are ordered by hash, and cut where the running sum of bytes meets the
   shards' free bytes; running sums are per bucket of a bounded number of rows.
 
 Defined cases: a null or empty text has size 16 and links with all of them; ties
@@ -33,8 +35,11 @@ from .common import buckets_for, forget, materialize, number_within
 SHARDS = 40
 OVERHEAD = 16
 BIG = 200
-ROUNDS = 3
+#: Rounds end when the bytes that want to move stop falling; these are the most.
+ROUNDS = 6
 ROWS_PER_BUCKET = 20_000
+#: Groups of at most so many documents also stay together when their shard is over its quota.
+TOGETHER = 1000
 
 
 def unit(*cols: Column) -> Column:
@@ -82,7 +87,7 @@ def literal(values: list[float]) -> Column:
 
 def propagate(linked: DataFrame, quota: list[float], shards: int, rounds: int) -> DataFrame:
     """linked (id, size, crc, g, key, shard) after the rounds; a shard's linked bytes stay near its quota."""
-    mean = sum(quota) / shards
+    mean, before = sum(quota) / shards, float("inf")
     for step in range(rounds):
         cells = linked.groupBy("g", "shard").agg(F.sum("size").alias("bytes"))
         free = [q - x for q, x in zip(quota, per_shard(linked, shards), strict=True)]
@@ -100,8 +105,9 @@ def propagate(linked: DataFrame, quota: list[float], shards: int, rounds: int) -
         goal = F.when(large, F.when(F.array_contains("goals", F.col("shard")) | (F.col("shard") == F.col("home")), F.col("shard")).otherwise(pick)).otherwise(F.col("first"))
         aimed = materialize(linked.join(goals, "g", "left").withColumn("goal", F.coalesce(goal, F.col("shard"))).withColumn("draw", F.when(large, unit(F.lit(step), "key")).otherwise(unit(F.lit(step), "g"))).drop("all", "goals", "home", "first"), "aimed")
         want = {r[0]: r[1] for r in aimed.where("goal <> shard").groupBy("goal").agg(F.sum("size")).collect()}
-        if not want:
+        if not want or sum(want.values()) >= before:
             return aimed.drop("goal", "draw")
+        before = sum(want.values())
         leave = {r[0]: r[1] for r in aimed.where("goal <> shard").groupBy("shard").agg(F.sum("size")).collect()}
         share = [min(1.0, max(0.0, free[s] + 0.5 * leave.get(s, 0)) / want[s]) if want.get(s) else 1.0 for s in range(shards)]
         goes = F.col("draw") < F.element_at(literal(share), F.col("goal") + 1)
@@ -112,7 +118,7 @@ def propagate(linked: DataFrame, quota: list[float], shards: int, rounds: int) -
 def pour(rest: DataFrame, free: list[float], rows: int) -> DataFrame:
     """rest with shards: in order of key, cut where the running bytes meet the shards' shares of them."""
     n = buckets_for(rows, ROWS_PER_BUCKET)
-    rest = rest.withColumn("b", F.pmod("key", F.lit(n)))
+    rest = rest.withColumn("b", F.pmod("with", F.lit(n)))
     sums = rest.groupBy("b").agg(F.sum("size").alias("x"))
     base = sums.select("b", F.coalesce(F.sum("x").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     total = float(rest.agg(F.sum("size")).first()[0] or 0)
@@ -120,10 +126,10 @@ def pour(rest: DataFrame, free: list[float], rows: int) -> DataFrame:
     for x in free:
         at += x * total / max(1.0, sum(free))
         edges.append(at)
-    within = Window.partitionBy("b").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("b").orderBy("with", "key").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("base") + F.sum("size").over(within) - F.col("size") / 2
     shard = sum((F.when(F.col("middle") >= e, 1).otherwise(0) for e in edges[:-1]), F.lit(0))
-    return rest.join(base, "b").withColumn("middle", middle).withColumn("shard", shard.cast("int")).select("id", "size", "crc", "g", "key", "shard")
+    return rest.join(base, "b").withColumn("middle", middle).withColumn("shard", shard.cast("int")).select("id", "size", "crc", "g", "key", "with", "shard")
 
 
 def assign(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -134,23 +140,30 @@ def assign(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col
     big = F.col("size") > mean / BIG
     load = [0.0] * shards
     placed = place_big(base.where(big).select("g", "size", "key").collect(), load, mean) if rows else []
-    cols = ["id", "size", "crc", "g", "key", "shard"]
+    cols = ["id", "size", "crc", "g", "key", "with", "shard"]
     parts = []
     if placed:
         where = base.sparkSession.createDataFrame(placed, "key long, shard int")
-        parts.append(base.where(big).join(F.broadcast(where), "key").select(cols))
+        parts.append(base.where(big).withColumn("with", F.col("key")).join(F.broadcast(where), "key").select(cols))
     small = base.where(~big)
-    twice = materialize(small.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "twice")
-    marked = materialize(small.join(twice.withColumn("linked", F.lit(True)), "g", "left"), "marked")
+    twice = materialize(small.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "twice")
+    # with: what a document moves with, its group or itself
+    marked = small.join(twice, "g", "left").withColumn("linked", F.col("n").isNotNull()).withColumn("with", F.when(F.col("n") <= TOGETHER, F.col("g")).otherwise(F.col("key"))).drop("n")
+    marked = materialize(marked, "marked")
     quota = [max(0.0, mean - x) for x in load]
     linked = marked.where("linked").drop("linked").withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).select(cols)
-    linked = materialize(propagate(linked, quota, shards, rounds), "linked")
+    linked = propagate(linked, quota, shards, rounds)
+    # small groups that the quotas kept apart are lifted out whole, and poured with the rest
+    apart = linked.where(F.col("with") == F.col("g")).groupBy("g").agg(F.min("shard").alias("a"), F.max("shard").alias("z")).where("a <> z").select("g", F.lit(True).alias("apart"))
+    linked = materialize(linked.join(materialize(apart, "apart"), "g", "left").withColumn("apart", F.col("apart").isNotNull()), "linked")
+    lifted = linked.where("apart").select(cols[:-1])
+    linked = linked.where("NOT apart").select(cols)
     have = per_shard(linked, shards)
     # what stands above the quota leaves by hash, with a little more, and is poured with the rest
     over = [min(1.0, 1.02 * (x - q) / x + 0.002) if x > q else -1.0 for x, q in zip(have, quota, strict=True)]
-    out = unit(F.lit("over"), "key") < F.element_at(literal(over), F.col("shard") + 1)
+    out = unit(F.lit("over"), "with") < F.element_at(literal(over), F.col("shard") + 1)
     stay = linked.where(~out)
-    rest = materialize(marked.where("linked IS NULL").drop("linked").select(cols[:-1]).union(linked.where(out).select(cols[:-1])), "rest")
+    rest = materialize(marked.where("NOT linked").drop("linked").select(cols[:-1]).union(lifted).union(linked.where(out).select(cols[:-1])), "rest")
     have = per_shard(stay, shards)
     parts += [stay.select(cols), pour(rest, [max(0.0, q - x) for x, q in zip(have, quota, strict=True)], rows).select(cols)]
     everything = parts[0]
@@ -159,4 +172,4 @@ def assign(df: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col
     everything = materialize(everything, "shards")
     forget(marked)
     buckets = buckets_for(-(-rows // shards), ROWS_PER_BUCKET)
-    return number_within(everything.withColumn("b", F.pmod("key", F.lit(buckets))), "shard", ["key", "id"], "b", "slot").drop("b", "key")
+    return number_within(everything.withColumn("b", F.pmod("key", F.lit(buckets))), "shard", ["key", "id"], "b", "slot").drop("b", "key", "with")
