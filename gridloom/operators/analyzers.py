@@ -112,7 +112,8 @@ class VarianceEstimator(Operator):
     def apply(self, grid: Grid) -> Grid:
         m = grid.meta
         # a stream ends with a whole chunk: its tail is padded with weight 0
-        end = self.nt_total if self.nt_total is not None else (grid.df.agg(F.max("t")).first()[0] or -1) + 1
+        last = grid.df.agg(F.max("t")).first()[0] if self.nt_total is None else self.nt_total - 1
+        end = 0 if last is None else last + 1
         last_v1 = -(-end // self.nt_chunk) * self.nt_chunk // self.v1_chunk
         out = variance_v2(variance_v1(grid, self.v1_chunk), self.v2_chunk, last_v1)
         per = self.v1_chunk * self.v2_chunk

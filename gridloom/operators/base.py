@@ -85,11 +85,19 @@ class Operator:
 
 
 class Source(Operator):
-    """An operator without input: ``load`` makes the grid."""
+    """An operator without input: ``load`` makes the grid. ``has_chunks``: its packed chunks have a size already."""
+
+    has_chunks: ClassVar[bool] = False
 
     def load(self, spark: Any) -> Grid:
         raise NotImplementedError
 
+    def load_packed(self, spark: Any, nt_chunk: int) -> Any:
+        """The grid in packed chunks; sources that can make them at once do without rows of cells."""
+        from .fused import Packed
+
+        return Packed.of(self.load(spark), nt_chunk)
+
     def apply(self, grid: Grid) -> Grid:
         raise TypeError("a source must come first")
 

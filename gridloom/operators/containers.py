@@ -16,6 +16,8 @@ from .base import Operator, Source, from_json
 
 #: Branching plans are computed again for every branch; from this many on, the cells are written once.
 BRANCHES = 2
+#: One or two operators are cheaper as expressions of rows, more of them as arrays.
+FUSE = 3
 
 
 @dataclass
@@ -44,12 +46,23 @@ class Pipeline(Operator):
         return meta
 
     def apply(self, grid: Grid) -> Grid:
-        for op in self.elements:
+        """The operators in order. Runs of FUSE or more that have kernels go through chunks together, in one shuffle and one pass."""
+        from .fused import runs
+
+        for op in runs(self.elements, grid, FUSE):
             grid = op(grid)
             if grid.branches >= BRANCHES and op is not self.elements[-1]:
                 grid = replace(grid, df=cut(grid.df), branches=0)
         return grid
 
+    def run_packed(self, spark: Any, nt_chunk: int = 0) -> Any:
+        """Load the first element as packed chunks and run all the rest on them, without a row per cell anywhere. All must have kernels."""
+        from .fused import FusedChain, common_chunk
+
+        first, rest = self.first()
+        packed = first.load_packed(spark, nt_chunk or (0 if first.has_chunks else common_chunk(rest) or 1024))
+        return packed.run(FusedChain(rest, packed.nt_chunk))
+
     def run(self, spark: Any) -> Grid:
         """Load the first element, which must be a source, bind all the rest, then declare their plan."""
         first, rest = self.first()

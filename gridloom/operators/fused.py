@@ -12,21 +12,24 @@ Python and back. Chains on packed grids are the fastest way through long streams
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+import math
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..grid import CELL, SCHEMA, Grid, GridMeta
-from .base import Operator
+from .base import Operator, Source
 from .containers import Pipeline, SubPipeline
 
 PACKED = "chunk BIGINT, freq INT, intensity BINARY, weight BINARY"
 #: Cells of a chunk's arrays at most: 1 GB of intensities and weights.
 CHUNK_CELLS = 1 << 26
+#: Cells of the chunks that pipelines fuse on their own: 64 MB of intensities and weights.
+FUSED_CELLS = 1 << 22
 
 
 def leaves(op: Operator) -> list[Operator]:
@@ -38,6 +41,36 @@ def fusible(op: Operator) -> bool:
     return all(hasattr(x, "kernel") for x in leaves(op))
 
 
+def common_chunk(ops: Iterable[Operator]) -> int:
+    """The least number of samples that is a multiple of every operator's chunk; 0 if none has one."""
+    sizes = [n for op in ops for x in leaves(op) if (n := getattr(x, "nt_chunk", 0))]
+    return math.lcm(*sizes) if sizes else 0
+
+
+def runs(ops: list[Operator], grid: Grid, least: int) -> list[Operator]:
+    """ops with each run of at least ``least`` operators (those inside pipelines count) that have kernels as one FusedChain.
+
+    Grids with saved buffers, and chunks of over FUSED_CELLS cells, stay as they are.
+    """
+    out: list[Operator] = []
+    run: list[Operator] = []
+
+    def close() -> None:
+        nt, m = common_chunk(run), grid.meta
+        whole = nt and nt % m.nds == 0 and m.nfreq * nt // m.nds <= FUSED_CELLS
+        out.extend([FusedChain(list(run), nt)] if whole and sum(len(leaves(x)) for x in run) >= least else run)
+        run.clear()
+
+    for op in ops:
+        if set(grid.cells.columns) == set(CELL) and not isinstance(op, FusedChain) and leaves(op) and fusible(op):
+            run.append(op)
+        else:
+            close()
+            out.append(op)
+    close()
+    return out
+
+
 def run_kernel(op: Operator, i: np.ndarray, w: np.ndarray, meta: GridMeta, t0: int) -> tuple[np.ndarray, np.ndarray]:
     """op on arrays (nfreq, samples) that begin at native sample t0."""
     if isinstance(op, (Pipeline, FusedChain)):
@@ -73,6 +106,7 @@ class FusedChain(Operator):
     elements: list[Operator] = field(default_factory=list)
     nt_chunk: int = 1024
     class_name = "fused_chain"
+    in_sub_pipeline = True
 
     def children(self) -> list[Operator]:
         return self.elements
@@ -113,8 +147,11 @@ class FusedChain(Operator):
 
         return grid.with_df(cells.groupBy("__c").applyInArrow(each, SCHEMA))
 
-    def apply_packed(self, packed: DataFrame, meta: GridMeta, dtype: str = "<f4") -> DataFrame:
-        """The chain on a packed grid of chunks of nt_chunk samples; arithmetic is in double precision."""
+    def apply_packed(self, packed: DataFrame, meta: GridMeta, dtype: str = "<f4", together: bool = False) -> DataFrame:
+        """The chain on a packed grid of chunks of nt_chunk samples; arithmetic is in double precision.
+
+        together: the rows of a chunk follow one another in one partition, so nothing is shuffled.
+        """
         self.bind(meta)
         n, nt, chain = meta.nfreq, self.nt_chunk, self
 
@@ -127,7 +164,23 @@ class FusedChain(Operator):
             i, w = run_kernel(chain, i, w, meta, c * nt)
             return pa.table([t["chunk"], t["freq"], *(binary(x[f], dtype) for x in (i, w))], names=["chunk", "freq", "intensity", "weight"])
 
-        return packed.groupBy("chunk").applyInArrow(each, PACKED)
+        def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: list[pa.RecordBatch] = []
+            for b in batches:
+                c = b.column(0).to_numpy()
+                edges = np.flatnonzero(c[1:] != c[:-1]) + 1
+                for a, z in zip([0, *edges], [*edges, len(c)], strict=True):
+                    if a == z:
+                        continue
+                    if kept and kept[0].column(0)[0].as_py() != c[a]:
+                        yield from each(pa.Table.from_batches(kept).combine_chunks()).to_batches()
+                        kept = []
+                    kept.append(b.slice(a, z - a))
+            if kept:
+                yield from each(pa.Table.from_batches(kept).combine_chunks()).to_batches()
+
+        packed = packed.select("chunk", "freq", "intensity", "weight")
+        return packed.mapInArrow(follow, PACKED) if together else packed.groupBy("chunk").applyInArrow(each, PACKED)
 
 
 def samples(column: pa.Array, dtype: str) -> np.ndarray:
@@ -176,3 +229,60 @@ def unpack_cells(packed: DataFrame, meta: GridMeta, nt_chunk: int, dtype: str =
                 yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.repeat(p.column(1).to_numpy(), size)), *values], names=list(CELL))
 
     return Grid(packed.select("chunk", "freq", "intensity", "weight").mapInArrow(each, SCHEMA), meta)
+
+
+@dataclass(frozen=True)
+class Packed:
+    """A grid as packed chunks of nt_chunk samples. ``nt_end``: the sample behind the stream's last; a chunk's samples from there on are not of the stream."""
+
+    df: DataFrame
+    meta: GridMeta
+    nt_chunk: int
+    nt_end: int
+    dtype: str = "<f4"
+    #: Whether the rows of a chunk follow one another in one partition.
+    together: bool = False
+
+    @staticmethod
+    def of(grid: Grid, nt_chunk: int, dtype: str = "<f4") -> Packed:
+        """The packed form of cells: one shuffle."""
+        end = grid.df.agg(F.max("t")).first()[0]
+        return Packed(pack_cells(grid, nt_chunk, dtype), grid.meta, nt_chunk, 0 if end is None else end + grid.meta.nds, dtype)
+
+    def run(self, chain: FusedChain) -> Packed:
+        """The chain on every chunk: without a shuffle where a chunk's rows are together, with one of bytes where not."""
+        return replace(self, df=chain.apply_packed(self.df, self.meta, self.dtype, self.together), together=True)
+
+    def cells(self) -> Grid:
+        """Rows of cells."""
+        grid = unpack_cells(self.df, self.meta, self.nt_chunk, self.dtype)
+        return grid.with_df(grid.df.where(F.col("t") < self.nt_end))
+
+    def write(self, path: str, mode: str = "errorifexists") -> None:
+        """Parquet of chunks and, beside every row, what ``PackedFileStream`` needs to read them."""
+        m = self.meta
+        about = {"nfreq": m.nfreq, "nds": m.nds, "freq_lo_MHz": m.freq_lo_MHz, "freq_hi_MHz": m.freq_hi_MHz, "dt_sample": m.dt_sample, "t_initial": m.t_initial, "nt_chunk": self.nt_chunk, "nt_end": self.nt_end, "dtype": self.dtype}
+        self.df.withColumns({k: F.lit(v) for k, v in about.items()}).write.mode(mode).parquet(path)
+
+
+@dataclass
+class PackedFileStream(Source):
+    """Packed chunks that ``Packed.write`` wrote."""
+
+    filename: str
+    class_name = "packed_file_stream"
+    has_chunks = True
+
+    def load(self, spark: SparkSession) -> Grid:
+        return self.load_packed(spark, 0).cells()
+
+    def load_packed(self, spark: SparkSession, nt_chunk: int) -> Packed:
+        """nt_chunk must be that of the files, or 0."""
+        rows = spark.read.parquet(self.filename)
+        a = rows.drop("chunk", "freq", "intensity", "weight").first()
+        if a is None:
+            raise ValueError(f"{self.filename} holds no chunks")
+        if nt_chunk and nt_chunk != a.nt_chunk:
+            raise ValueError(f"{self.filename} has chunks of {a.nt_chunk} samples, not {nt_chunk}")
+        meta = GridMeta(a.nfreq, a.nds, a.freq_lo_MHz, a.freq_hi_MHz, a.dt_sample, a.t_initial)
+        return Packed(rows.select("chunk", "freq", "intensity", "weight"), meta, a.nt_chunk, a.nt_end, a.dtype)

@@ -231,7 +231,7 @@ ORACLES: dict[str, str] = {
     "mask_stats": f"SELECT CAST(sum(nsamples) AS BIGINT) AS nsamples, CAST(sum(unmasked) AS BIGINT) AS unmasked, round(100e0 * (sum(nsamples) - sum(unmasked)) / sum(nsamples), 6) AS pct_masked FROM (SELECT * FROM {measurements(LINES, 32, 128)} ORDER BY pos DESC LIMIT 6)",
     "variance_v1_blocks": f"SELECT v1_idx, freq, round(v1, 6) AS v1 FROM {v1(EMB, V1)}",
     "variance_v2_median": f"SELECT freq, v2_idx, round((v2_idx + 0.5e0) * {V1 * V2 * 1e-3}, 6) AS time, round(variance, 6) AS variance FROM {v2(v1(EMB, V1), V2)} WHERE (v2_idx + 1) * {V2} <= (SELECT (max(vec_id) // 80 + 1) * 5 FROM embeddings)",
-    "variance_interp_asof": f"WITH {FILLED}, asks AS (SELECT i * 37 * 1e-3 AS ts, CAST(f AS INTEGER) AS freq FROM range(0, 82) a(i), range(0, 32) b(f)), q AS (SELECT asks.*, {interp('asks.ts', 'filled', 'time', 'variance', 'k.freq = asks.freq')} FROM asks) SELECT freq, round(ts, 6) AS ts, round({LINEAR.format(x='ts')}, 5) AS v FROM q",
+    "variance_interp_asof": f"WITH {FILLED}, asks AS (SELECT t * 1e-3 AS ts, freq FROM {LINES}), q AS (SELECT asks.*, {interp('asks.ts', 'filled', 'time', 'variance', 'k.freq = asks.freq')} FROM asks) SELECT freq, round(ts, 6) AS ts, round({LINEAR.format(x='ts')}, 5) AS v FROM q",
     "variance_compare": f"SELECT a.freq, a.v2_idx, round(greatest(a.variance, 1e-5) / greatest(b.variance, 1e-5), 6) AS ratio FROM {v2(v1(LINES, 32), 2)} a JOIN {v2(v1(LINES, 32), 8)} b ON a.freq = b.freq AND a.v2_idx // 4 = b.v2_idx",
     "mask_filler": f"WITH {FILLED}, asks AS (SELECT DISTINCT t // 128 AS c, freq, (t // 128 + 0.5e0) * 0.128e0 AS ts FROM {LINES}), q AS (SELECT asks.*, {interp('asks.ts', 'filled', 'time', 'variance', 'k.freq = asks.freq')} FROM asks), v AS (SELECT c, freq, {LINEAR.format(x='ts')} AS v FROM q) SELECT g.freq, count(*) AS n, count(*) FILTER (weight > 0.9) AS valid, sum(CASE WHEN v > 0 THEN 2e0 ELSE 0e0 END) AS wsum, round(sum(CASE WHEN weight > 0.9 THEN intensity END), 4) AS kept FROM {LINES} g LEFT JOIN v ON g.t // 128 = v.c AND g.freq = v.freq GROUP BY 1",
     "spectrum_median": f"SELECT t // 32 AS chunk, freq, round(CASE WHEN count(*) FILTER (weight > 0) > 2 THEN median(intensity) FILTER (weight > 0) ELSE 0 END, 6) AS value FROM {blocks(EMB, 1, 4)} GROUP BY 1, 2",
@@ -255,4 +255,7 @@ ORACLES: dict[str, str] = {
     "full_chain": e(CHAIN),
     "full_chain_fused": e(CHAIN),
     "full_chain_packed": e(CHAIN),
+    "packed_round_trip": e(CHAIN),
+    "array_form": e(CHAIN),
+    "file_round_trip": e(EMB),
 }

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.colours import colour_tiles
 from ..functions.resample import downsample, expand, max_pool, pack_mask, unpack_mask, upsample, upsample_weights, zoom_pyramid
 from ..functions.stats import group_stats, weighted_mean_and_rms
-from ..grid import Grid, densify
+from ..grid import CELL, SCHEMA, Grid, densify
 from ..operators.analyzers import PlotterTransform, SpectrumAnalyzer, StripeAnalyzer, VarianceEstimator, variance_v1, variance_v2
 from ..operators.base import FunctionTransform, Operator
 from ..operators.clippers import IntensityClipper, KurtosisFilter, StdDevClipper
@@ -18,11 +20,12 @@ from ..operators.containers import Pipeline, PipelineFork, Reverter, Saver, SubP
 from ..operators.dedispersion import FrbInjector, Pulse, PulseAdder, coarse_triggers, dedisperse, global_max
 from ..operators.detrenders import PolynomialDetrender, RCDetrender, SplineDetrender
 from ..operators.fillers import MaskFiller, NoiseFiller, OnlineMaskFiller, compare_variances, evaluate, interpolate_zeros
-from ..operators.fused import FusedChain, pack_cells, unpack_cells
+from ..operators.fused import FusedChain, Packed, PackedFileStream, apply_to_arrays, pack_cells, unpack_cells
 from ..operators.masks import AdversarialMasker, BadChannelMask, Derippler, MaskCounter, MaskExpander, MeanWeightMask, SpikeMask, ThermalNoiseWeight, last_measurements, mask_measurements, mask_rectangles, measurement_stats
 from ..sinks.packets import packets
-from ..sources.files import acquisition, scan
+from ..sources.files import FileStream, FileWriter, acquisition, scan
 from ..sources.synthetic import DummyNetworkStream, GaussianNoiseStream
+from ..storage import shared_path
 from .grids import EMB_CHUNK, EVENT_CHUNK, LINE_CHUNK, emb_grid, event_grid, lineitem_grid, summary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -173,7 +176,7 @@ def line_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def variance_interp_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asks = spark.range(0, 3000, 37).select((F.col("id") * 1e-3).alias("ts"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("freq"))
+    asks = lineitem_grid(spark, sf_dir).cells.select((F.col("t") * 1e-3).alias("ts"), "freq")
     return evaluate(interpolate_zeros(line_variance(spark, sf_dir)), asks).select("freq", F.round("ts", 6).alias("ts"), F.round("v", 5).alias("v"))
 
 
@@ -350,3 +353,35 @@ def full_chain_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     # packing fills a chunk's missing samples with weight 0; the stream ends before them
     end = g.df.agg(F.coalesce(F.max("t"), F.lit(-1))).first()[0]
     return summary(unpack_cells(out, g.meta, 64, "<f8").df.where(F.col("t") <= end), EMB_CHUNK)
+
+
+@query
+def file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as acquisition files of several parts, and read back."""
+    g = emb_grid(spark, sf_dir)
+    at = shared_path(spark, "acquisition")
+    FileWriter(f"{at}/00000000.parquet")(g.with_df(g.df.repartition(4, "freq")))
+    return summary(FileStream.from_acqdir(at).load(spark).cells, EMB_CHUNK)
+
+
+@query
+def packed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed chunks written, read back, and taken through a chain, without rows of cells between."""
+    at = shared_path(spark, "packed")
+    Packed.of(emb_grid(spark, sf_dir), 64, "<f8").write(at)
+    return summary(Pipeline([PackedFileStream(at), *production()]).run_packed(spark).cells().df, EMB_CHUNK)
+
+
+@query
+def array_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain on plain arrays, a chunk at a time, by a user's function."""
+
+    def each(t: pa.Table) -> pa.Table:
+        f, k = t["freq"].to_numpy(), t["t"].to_numpy() % 64
+        i, w = np.zeros((64, 64)), np.zeros((64, 64))
+        i[f, k], w[f, k] = t["intensity"].to_numpy(), t["weight"].to_numpy()
+        i, w = apply_to_arrays(Pipeline(production()), i, w, freq_lo_MHz=400.0, freq_hi_MHz=800.0)
+        return pa.table([t["t"], t["freq"], pa.array(i[f, k]), pa.array(w[f, k])], names=list(CELL))
+
+    cells = emb_grid(spark, sf_dir).cells.select(*CELL)
+    return summary(cells.groupBy(F.expr("t div 64")).applyInArrow(each, SCHEMA), EMB_CHUNK)

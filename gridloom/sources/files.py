@@ -136,11 +136,15 @@ class FileStream(Source):
 
     @classmethod
     def from_times(cls, spark: SparkSession, dirname: str, t0: float, t1: float, nt_chunk: int = 0, noise_source_align: int = 0) -> FileStream:
-        """The files that overlap [t0, t1]: first and last times come from Parquet statistics."""
+        """The files that overlap [t0, t1]. The range is pushed down to the scan, which skips row groups by their statistics."""
         files = acquisition_files(dirname)
         if not files:
             raise ValueError(f"{dirname} has no acquisition files")
-        spans = spark.read.parquet(*files).groupBy(F.input_file_name().alias("file")).agg(F.min("time").alias("a"), F.max("time").alias("b"))
+        cells = spark.read.parquet(*files)
+        head = cells.select("dt_sample").first()
+        dt = head.dt_sample if head else 0.0
+        # a sample on either side, so that a file is found whose samples lie around a short range
+        spans = cells.where((F.col("time") >= t0 - dt) & (F.col("time") <= t1 + dt)).groupBy(F.input_file_name().alias("file")).agg(F.min("time").alias("a"), F.max("time").alias("b"))
         inside = sorted(r.file for r in spans.where((F.col("b") >= t0) & (F.col("a") <= t1)).select("file").collect())  # one name per file
         return cls(inside, nt_chunk, noise_source_align)
 
@@ -155,7 +159,7 @@ class PacketFileStream(FileStream):
 
 @dataclass
 class FileWriter(Operator):
-    """Write the grid as acquisition files, partitioned by chunks of time; the grid passes unchanged.
+    """Write the grid as an acquisition file of parts by ranges of time, which ``FileStream`` reads back; the grid passes unchanged.
 
     clobber replaces what is there; bitshuffle (0 to 3) chooses the codec.
     """
@@ -173,7 +177,8 @@ class FileWriter(Operator):
         return meta
 
     def apply(self, grid: Grid) -> Grid:
-        acquisition(grid).write.mode("overwrite" if self.clobber else "errorifexists").option("compression", ("none", "snappy", "zstd", "zstd")[self.bitshuffle]).parquet(self.filename)
+        parts = acquisition(grid).repartitionByRange("time").sortWithinPartitions("time", "freq")
+        parts.write.mode("overwrite" if self.clobber else "errorifexists").option("compression", ("none", "snappy", "zstd", "zstd")[self.bitshuffle]).parquet(self.filename)
         return grid
 
 

@@ -15,6 +15,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from ..functions.noise import gaussian, uniform
 from ..grid import SCHEMA, Grid, GridMeta
 from ..operators.base import Source
+from ..operators.fused import PACKED, Packed, binary
 
 #: Cells that one partition makes.
 PARTITION_CELLS = 4_000_000
@@ -60,6 +61,23 @@ class GaussianNoiseStream(Source):
         i, w = self.values()
         return Grid(frame(spark, self.nt_tot, self.nfreq).withColumns({"intensity": i, "weight": w}), self.meta())
 
+    def load_packed(self, spark: SparkSession, nt_chunk: int) -> Packed:
+        """Noise in packed chunks, drawn by chunk from (seed, chunk): of the same distribution as the cells of ``load``, but other numbers."""
+        n, nt, rms, seed, weights = self.nfreq, self.nt_tot, self.sample_rms, self.seed, self.randomize_weights
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for c in b.column(0).to_pylist():
+                    r = np.random.Generator(np.random.SFC64([seed, c]))
+                    inside = np.arange(nt_chunk) < nt - c * nt_chunk
+                    i = r.standard_normal((n, nt_chunk), dtype=np.float32) * np.float32(rms)
+                    w = r.random((n, nt_chunk), dtype=np.float32) if weights else np.ones((n, nt_chunk), np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, c)), pa.array(np.arange(n, dtype=np.int32)), binary(i * inside, "<f4"), binary(w * inside, "<f4")], ["chunk", "freq", "intensity", "weight"])
+
+        chunks = -(-nt // nt_chunk)
+        numbers = spark.range(0, chunks, 1, max(1, min(chunks, max(spark.sparkContext.defaultParallelism, chunks * nt_chunk * n // PARTITION_CELLS))))
+        return Packed(numbers.mapInArrow(each, PACKED), self.meta(), nt_chunk, nt, together=True)
+
 
 @dataclass
 class DummyNetworkStream(Source):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,8 @@ def cut(df: DataFrame) -> DataFrame:
     """df, computed once, written to the shared folder and read from there: survives lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/gridloom-{name}-{uuid.uuid4().hex}"

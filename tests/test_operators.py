@@ -397,15 +397,21 @@ def production_chain():
     ]
 
 
-def test_fused_chain_equals_its_operators(spark):
-    from gridloom.operators.fused import FusedChain, fusible, pack_cells, unpack_cells
+def test_fused_chain_equals_its_operators(spark, monkeypatch):
+    from gridloom.operators import containers
+    from gridloom.operators.fused import FusedChain, fusible, pack_cells, runs, unpack_cells
 
     i, w = random_grid(RNG, 16, 80)
     w[:, 40:44] = 0
     g = grid_of(spark, i, w)
     chain = FusedChain(production_chain(), 32)
     assert fusible(chain) and not fusible(FusedChain([RCDetrender()]))
+    assert [type(x) for x in runs([*production_chain(), RCDetrender(16), *production_chain()[:1]], g, 3)] == [FusedChain, RCDetrender, type(production_chain()[0])]
+    by_default = arrays_of(Pipeline(production_chain())(g), 80)
+    monkeypatch.setattr(containers, "FUSE", 1000)
     want_i, want_w = arrays_of(Pipeline(production_chain())(g), 80)
+    np.testing.assert_allclose(by_default[1], want_w)
+    np.testing.assert_allclose(by_default[0] * by_default[1], want_i * want_w, atol=1e-9)
     got_i, got_w = arrays_of(chain(g), 80)
     np.testing.assert_allclose(got_w, want_w)
     np.testing.assert_allclose(got_i * got_w, want_i * want_w, atol=1e-9)
@@ -435,3 +441,42 @@ def test_operators_on_plain_arrays():
     np.testing.assert_allclose(got, std_clip(i, w, "time", 16, 1.2))
     with pytest.raises(ValueError):
         apply_to_arrays(RCDetrender(32), i, w)
+
+
+def test_packed_from_source_to_sink(spark, tmp_path):
+    """A source that makes chunks, a chain on them, files, and the files again: no shuffle before the sink, and one value for every cell."""
+    from gridloom.operators.base import from_json
+    from gridloom.operators.fused import FusedChain, Packed, PackedFileStream
+    from gridloom.sources.synthetic import GaussianNoiseStream
+
+    source = GaussianNoiseStream(12, 150, 400.0, 800.0, 1e-3, sample_rms=2.0, randomize_weights=True, seed=5)
+    raw = source.load_packed(spark, 64)
+    assert raw.together and raw.df.count() == 36
+    i, w = arrays_of(raw.cells(), 150)
+    assert 1.8 < i.std() < 2.2 and 0.45 < w.mean() < 0.55
+    ops = [IntensityClipper(32, "time", 1.5), StdDevClipper(16, "time", 1.4), PolynomialDetrender(32, "time", 1)]
+    done = Pipeline([source, *ops]).run_packed(spark, 64)
+    assert "Exchange" not in done.df._jdf.queryExecution().toString()
+    want = arrays_of(FusedChain(ops, 64)(grid_of(spark, i, w)), 150)
+    got = arrays_of(done.cells(), 150)
+    np.testing.assert_allclose(got[1], want[1], rtol=1e-6)
+    np.testing.assert_allclose(got[0] * got[1], want[0] * want[1], atol=1e-5)
+    done.write(str(tmp_path / "packed"))
+    stream = from_json(PackedFileStream(str(tmp_path / "packed")).jsonize())
+    back = arrays_of(stream.load(spark), 150)
+    np.testing.assert_allclose(back, got)
+    assert stream.load_packed(spark, 64).meta.nfreq == 12
+    again = Pipeline([stream, IntensityClipper(32, "time", 100.0)]).run_packed(spark)
+    np.testing.assert_allclose(arrays_of(again.cells(), 150)[1], got[1])
+    with pytest.raises(ValueError):
+        stream.load_packed(spark, 32)
+    with pytest.raises(ValueError):
+        Pipeline([source, RCDetrender(32)]).run_packed(spark, 64)
+    assert Packed.of(grid_of(spark, i, w).with_df(grid_of(spark, i, w).df.limit(0)), 64).cells().df.count() == 0
+
+
+def test_a_stream_of_one_sample_has_a_chunk(spark):
+    from gridloom.operators.analyzers import VarianceEstimator
+
+    g = grid_of(spark, np.ones((2, 1)), np.ones((2, 1)), t_initial=0.0, dt_sample=1e-3)
+    assert VarianceEstimator(None, 4, 2, 8)(g).outputs["variance"].count() == 2

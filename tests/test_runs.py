@@ -48,7 +48,7 @@ def test_every_class_round_trips_with_its_own_defaults():
         "spline_detrender": {"nt_chunk": 64, "axis": "AXIS_FREQ", "nbins": 2}, "mask_counter": {"nt_chunk": 64, "where": "a"}, "mask_expander": {"prev_wname": "w", "width": 0.1, "threshold": 0.3}, "pipeline_fork": {"bufnames": [["WEIGHTS", "w"]]},
         "plotter_transform": {"img_prefix": "a", "img_nfreq": 4, "img_nt": 4}, "mask_filler": {"var_file": "v", "w_cutoff": 0.5}, "frb_injector_transform": {"snr": 1.0, "undispersed_arrival_time": 0.0, "dm": 1.0}, "pulse_adder": {"pulses": []},
         "gaussian_noise_stream": {"nfreq": 4, "nt_tot": 4, "freq_lo_MHz": 4.0, "freq_hi_MHz": 8.0, "dt_sample": 1.0}, "chime_file_stream": {"filename_list": ["a"]}, "chime_frb_file_stream": {"filename_list": ["a"]}, "chime_file_writer": {"filename": "a"},
-        "chime_dummy_network_stream": {"nt_tot": 4}, "pipeline": {"elements": []}, "fused_chain": {"elements": [], "nt_chunk": 64}, "wi_sub_pipeline": {"sub_pipeline": {"class_name": "pipeline", "elements": []}, "Df": 2, "Dt": 2},
+        "chime_dummy_network_stream": {"nt_tot": 4}, "pipeline": {"elements": []}, "fused_chain": {"elements": [], "nt_chunk": 64}, "packed_file_stream": {"filename": "a"}, "wi_sub_pipeline": {"sub_pipeline": {"class_name": "pipeline", "elements": []}, "Df": 2, "Dt": 2},
     }
     for name in REGISTRY:
         j = from_json({"class_name": name} | given.get(name, {})).jsonize()

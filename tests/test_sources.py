@@ -99,20 +99,34 @@ def test_written_files_read_back(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)exist"):
         FileWriter(str(tmp_path / "00000000.parquet"))(g)
     assert len(acquisition_files(str(tmp_path))) == 3 and len(acquisition_files(str(tmp_path), 2)) == 2
-    # a written path is a folder of part files: the scan takes them by their time
-    back = FileStream.from_acqdir(str(tmp_path))
-    with pytest.raises(ValueError):  # parts of one file overlap in time, which only whole files may not
-        FileStream([]).load(spark)
+    # a written path is a folder of parts by ranges of time, which the scan takes as files
     names = [str(tmp_path / f"{k:08d}.parquet") for k in range(3)]
-    cells = spark.read.parquet(*names).withColumn("file", F.regexp_extract(F.input_file_name(), r"([0-9]{8})\.parquet", 1))
-    gi, gw = arrays_of(scan(cells), 40)
+    back = FileStream.from_acqdir(str(tmp_path))
+    assert back.filename_list == names
+    gi, gw = arrays_of(back.load(spark), 40)
     np.testing.assert_allclose(gi, i)
     np.testing.assert_allclose(gw, w)
-    assert back.filename_list == names
+    with pytest.raises(ValueError):
+        FileStream([]).load(spark)
     assert FileStream.from_glob(str(tmp_path / "0000000{0,2}.parquet")).filename_list == [names[0], names[2]]
     assert isinstance(from_json(PacketFileStream(names).jsonize()), PacketFileStream)
 
 
+def test_a_grid_in_parts_by_channel_reads_back(spark, tmp_path):
+    i, w = random_grid(RNG, 6, 50)
+    g = grid_of(spark, i, w, t_initial=3.0)
+    with_aqe = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        FileWriter(str(tmp_path / "00000000.parquet"))(g.with_df(g.df.repartition(4, "freq")))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", with_aqe)
+    assert len(list((tmp_path / "00000000.parquet").glob("part-*"))) > 1
+    gi, gw = arrays_of(FileStream.from_acqdir(str(tmp_path)).load(spark), 50)
+    np.testing.assert_allclose(gi, i)
+    np.testing.assert_allclose(gw, w)
+
+
 def test_time_range_prunes_files(spark, tmp_path):
     i, w = random_grid(RNG, 2, 30)
     g = grid_of(spark, i, w, t_initial=1.0)
