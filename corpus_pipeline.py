@@ -20,7 +20,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of every group linked by five-word shingles of similarity 0.8 or more."""
+    """One document, that of the smallest id, of every group linked by five-word shingles of similarity 0.8 or more: by SimHash first, exactly for the rest."""
     return jaccard.deduplicate(docs)
 
 

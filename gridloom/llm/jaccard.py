@@ -1,9 +1,14 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles, for the pipeline.
+"""Near-duplicates by SimHash and exact Jaccard similarity of word shingles, for the pipeline.
 
 Two texts are linked if their sets of five-word shingles have similarity 0.8 or more
-(4 / 5, compared in integers). No link is missed: with the shingles of every text in one
-common order, two sets of that similarity share one of their first n - ceil(4n / 5) + 1,
-so an equi-join on those finds all candidates, and each is checked on the whole sets.
+(4 / 5, compared in integers). Candidates come from the SimHash operator first: texts whose
+fingerprints, of the same shingles, its pigeonring search finds within 4 bits. Each is
+checked on the whole sets, and what is linked makes groups.
+
+Most pairs of similarity 0.8 differ in more bits, and no distance is sure to hold them all.
+So the rest is found exactly, between sets of different groups: with the shingles of every
+text in one common order, two sets of that similarity share one of their first
+n - ceil(4n / 5) + 1, so an equi-join on those finds all candidates, and each is checked likewise.
 
 The order puts shingles that are frequent in a sample last. It decides how many
 candidates there are, not which links are found.
@@ -30,7 +35,8 @@ from xxhash import xxh64_intdigest
 
 from .common import forget, fresh, materialize
 from .components import connected_components
-from .simhash import keep_first
+from .simhash import fold, keep_first, shingle_hashes, signed
+from .simhash import links as fingerprint_links
 
 SHINGLE = 5
 HOT = 64
@@ -41,18 +47,14 @@ SLOTS = 1 << 22
 PIECE = 500  # rows whose sets are in memory together
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Different hashes, signed and ascending."""
+    return np.unique(hashes.view("<i8"))
+
+
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """Hashes of the text's distinct word shingles, ascending."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    line = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxh64_intdigest(line, 42)], dtype="<u8").view("<i8")
-    starts = np.zeros(len(words) + 1, dtype=np.int64)
-    np.cumsum([len(w) + 1 for w in words], out=starts[1:])
-    a, b = starts[:-shingle].tolist(), (starts[shingle:] - 1).tolist()
-    return np.unique(np.array([xxh64_intdigest(line[i:j], 42) for i, j in zip(a, b, strict=True)], dtype="<u8").view("<i8"))
+    return distinct(shingle_hashes(text, shingle))
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +112,22 @@ def behind(n: Column, m: Column) -> Column:
     return F.floor((4 * F.greatest(n, m) + 4) / 5) - 1
 
 
+def fingerprint_pairs(nodes: DataFrame, hot: int) -> DataFrame:
+    """Distinct pairs (u, v) of sets whose fingerprints are equal or linked by the SimHash operator, if their sizes allow the similarity. nodes is (node, n, fp).
+
+    One set stands for all of its fingerprint, and is paired with each of them.
+    """
+    first = materialize(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("first")).select("fp", "first.*"), "prints")
+    same = nodes.alias("a").join(first.alias("b"), "fp").where("a.node <> b.node")
+    near = fingerprint_links(first, hot).join(first.withColumnsRenamed({"fp": "u"}).alias("a"), "u").join(first.withColumnsRenamed({"fp": "v"}).alias("b"), "v")
+    ends = (F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"))
+    sizes = 5 * F.least("a.n", "b.n") >= 4 * F.greatest("a.n", "b.n")
+    return same.where(sizes).select(*ends).union(near.where(sizes).select(*ends)).distinct()
+
+
 def meetings(left: DataFrame, right: DataFrame, how: Column, elsewhere: str) -> DataFrame:
-    """A row per key at which two sets u > v meet. left and right are (key, node, n, pos, met, ...); elsewhere: the column of how many heads of a set meet others at keys not looked at."""
-    both = left.alias("a").join(right.alias("b"), (F.col("a.key") == F.col("b.key")) & how & may_be_similar("a", "b"))
+    """A row per key at which two sets u > v of different roots meet. left and right are (key, node, n, pos, met, root, ...); elsewhere: the column of how many heads of a set meet others at keys not looked at."""
+    both = left.alias("a").join(right.alias("b"), (F.col("a.key") == F.col("b.key")) & how & (F.col("a.root") != F.col("b.root")) & may_be_similar("a", "b"))
     n, m = F.col("a.n"), F.col("b.n")
     return both.select(F.greatest("a.node", "b.node").alias("u"), F.least("a.node", "b.node").alias("v"), (n + m).alias("both"), (F.least(F.col(f"a.{elsewhere}"), F.col(f"b.{elsewhere}")) + behind(n, m)).alias("more"))
 
@@ -166,36 +181,43 @@ def similar(pairs: DataFrame, rows: DataFrame, node: str, text_col: str, shingle
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """df's rows with all their columns, one row of each component: that of the smallest id (null last), or any of them."""
-    row, node, size, head = (fresh(df, c) for c in ("row", "node", "size", "heads"))
-    wide = T.StructType([*df.schema.fields, T.StructField(node, T.LongType()), T.StructField(size, T.IntegerType()), T.StructField(head, T.ArrayType(T.LongType()))])
+    row, node, size, bits, head = (fresh(df, c) for c in ("row", "node", "size", "fp", "heads"))
+    wide = T.StructType([*df.schema.fields, T.StructField(node, T.LongType()), T.StructField(size, T.IntegerType()), T.StructField(bits, T.LongType()), T.StructField(head, T.ArrayType(T.LongType()))])
     at = [c.lower() for c in df.columns].index(text_col.lower())
     frequent, counts = frequent_shingles(df, id_col, text_col, shingle)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            hs = [shingles(t, shingle) for t in b.column(at).to_pylist()]
-            new = [pa.array([digest(h) for h in hs], pa.int64()), pa.array([len(h) for h in hs], pa.int32()), pa.array([heads(h, frequent, counts) for h in hs], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, node, size, head])
+            all_hashes = [shingle_hashes(t, shingle) for t in b.column(at).to_pylist()]
+            fps = pa.array([signed(fold(h)) for h in all_hashes], pa.int64())
+            hs = [distinct(h) for h in all_hashes]
+            new = [pa.array([digest(h) for h in hs], pa.int64()), pa.array([len(h) for h in hs], pa.int32()), fps, pa.array([heads(h, frequent, counts) for h in hs], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, node, size, bits, head])
 
     # written once, so that a row keeps its number
     rows = materialize(df.mapInArrow(each, wide).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    prints = materialize(rows.groupBy(F.col(node).alias("node"), F.col(size).alias("n")).agg(F.min(bits).alias("fp")), "prints")
+    by_print = similar(fingerprint_pairs(prints, hot), rows, node, text_col, shingle)
+    forget(prints)
+    groups = connected_components(by_print)
     nodes = rows.select(F.col(node).alias("node"), F.col(size).alias("n"), F.col(head).alias("heads")).dropDuplicates(["node"])
     keyed = nodes.select("node", "n", F.posexplode("heads").alias("pos", "key"))
     shared = keyed.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("sets > 1")
     of = Window.partitionBy("node")
     crowded = F.count_if(F.col("sets") > hot).over(of)
-    shared = materialize(shared.withColumn("met", F.count(F.lit(1)).over(of)).withColumn("crowds", crowded).withColumn("colds", F.col("met") - F.col("crowds")), "shared")
+    shared = shared.withColumn("met", F.count(F.lit(1)).over(of)).withColumn("crowds", crowded).withColumn("colds", F.col("met") - F.col("crowds"))
+    shared = materialize(shared.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node")), "shared")
     cold, crowd = shared.where(F.col("sets") <= hot), shared.where(F.col("sets") > hot)
     pairs = pairs_of(meetings(cold, cold, F.col("a.node") < F.col("b.node"), "crowds"))
     if crowd.isEmpty():
-        links = similar(pairs, rows, node, text_col, shingle)
+        links = by_print.union(similar(pairs, rows, node, text_col, shingle))
     else:
         # those with most heads in common with others are in the middle of their crowd, and the same ones at most of its keys
         star = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("met"), F.xxhash64("node"), "node"))
         stars = crowd.withColumn("star", star).where(F.col("star") <= STARS)
         first = pairs_of(meetings(stars, crowd, F.col("a.node") != F.col("b.node"), "met"))
-        links = similar(pairs.union(first).distinct(), rows, node, text_col, shingle)
-        rooted = materialize(crowd.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+        links = by_print.union(similar(pairs.union(first).distinct(), rows, node, text_col, shingle))
+        rooted = materialize(crowd.drop("root").join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
         most = rooted.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
         # two sets of different roots are never both of the most frequent one
         rest = materialize(rooted.join(most, "key").where("root <> most").drop("most"), "rest")

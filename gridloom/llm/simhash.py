@@ -45,24 +45,33 @@ START_AT = 40  # a key's bits are below, the number of its first segment above
 SALTS = 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The unsigned 64-bit SimHash of the text's word shingles."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Unsigned hashes of the text's word shingles in their order, repeats included."""
     words = (text or "").encode().lower().split()  # bytes: ASCII case and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     line = b" ".join(words)
     if len(words) <= shingle:
-        return xxh64_intdigest(line, 42)
+        return np.array([xxh64_intdigest(line, 42)], dtype="<u8")
     starts = np.zeros(len(words) + 1, dtype=np.int64)
     np.cumsum([len(w) + 1 for w in words], out=starts[1:])
     a, b = starts[:-shingle].tolist(), (starts[shingle:] - 1).tolist()
-    h = np.array([xxh64_intdigest(line[i:j], 42) for i, j in zip(a, b, strict=True)], dtype="<u8")
+    return np.array([xxh64_intdigest(line[i:j], 42) for i, j in zip(a, b, strict=True)], dtype="<u8")
+
+
+def fold(h: np.ndarray) -> int:
+    """The unsigned 64-bit SimHash of hashes: the bits that over half of them have."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 65536):
         ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The unsigned 64-bit SimHash of the text's word shingles."""
+    return fold(shingle_hashes(text, shingle))
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed long."""
 
