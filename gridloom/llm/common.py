@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -63,6 +64,24 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sche
     return df.mapInArrow(each, schema)
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
+    """For the jobs that run within: Arrow batches end at so many rows or bytes, unless the session's own limits are lower."""
+    names = [f"spark.sql.execution.arrow.max{kind}PerBatch" for kind in ("Records", "Bytes")]
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, most in zip(names, (rows, size), strict=True):
+        own = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(k))
+        spark.conf.set(k, str(min(own, most) if own > 0 else most))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def buckets_for(rows: int, per_bucket: int, least: int = 1) -> int:
     """How many hash buckets keep about per_bucket rows each."""
     return max(least, -(-rows // per_bucket))

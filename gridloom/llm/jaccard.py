@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import forget, fresh, materialize
+from .common import bounded_batches, forget, fresh, materialize
 from .components import connected_components
 from .simhash import fold, keep_first, shingle_hashes, signed
 from .simhash import links as fingerprint_links
@@ -44,7 +44,8 @@ STARS = 4
 SAMPLE_DOCS = 25_000
 FREQUENT = 1 << 19
 SLOTS = 1 << 22
-PIECE = 500  # rows whose sets are in memory together
+PIECE = 500  # rows whose sets are in memory together, and that go to Python together
+PIECE_BYTES = 8 << 20  # of those rows, but for one longer row
 
 
 def distinct(hashes: np.ndarray) -> np.ndarray:
@@ -89,7 +90,8 @@ def frequent_shingles(df: DataFrame, id_col: str, text_col: str, shingle: int) -
         for b in pieces(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, shingle) for t in b.column(0).to_pylist()]), pa.int64())], ["h"])
 
-    got = texts.mapInArrow(each, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
+    with bounded_batches(df.sparkSession, PIECE, PIECE_BYTES):
+        got = texts.mapInArrow(each, "h long").groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).toArrow()
     h, n = got["h"].to_numpy(), got["count"].to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
@@ -171,7 +173,8 @@ def similar(pairs: DataFrame, rows: DataFrame, node: str, text_col: str, shingle
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "hs"])
 
     sets = rows.select(F.col(node).alias("node"), F.col(text_col).cast("string").alias("text")).mapInArrow(each, "node long, hs array<long>").dropDuplicates(["node"])
-    sets = materialize(sets, "sets")
+    with bounded_batches(rows.sparkSession, PIECE, PIECE_BYTES):
+        sets = materialize(sets, "sets")
     got = pairs.join(sets.select(F.col("node").alias("u"), F.col("hs").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("hs").alias("y")), "v")
     links = materialize(got.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("u", "v"), "links")
     forget(pairs)
@@ -195,7 +198,8 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, node, size, bits, head])
 
     # written once, so that a row keeps its number
-    rows = materialize(df.mapInArrow(each, wide).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    with bounded_batches(df.sparkSession, PIECE, PIECE_BYTES):
+        rows = materialize(df.mapInArrow(each, wide).withColumn(row, F.monotonically_increasing_id()), "numbered")
     prints = materialize(rows.groupBy(F.col(node).alias("node"), F.col(size).alias("n")).agg(F.min(bits).alias("fp")), "prints")
     by_print = similar(fingerprint_pairs(prints, hot), rows, node, text_col, shingle)
     forget(prints)

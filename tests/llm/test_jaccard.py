@@ -104,3 +104,28 @@ def test_the_stage_links_fingerprints_first(spark, tmp_path, monkeypatch):
     group = {r.node: r.root for r in connected_components(spark.createDataFrame(list(links), "u long, v long")).collect()}
     assert all(group.get(u, u) != group.get(v, v) for more, _ in later for u, v in more)
     assert any(bits(u, v) > 4 for _, found in later for u, v in found)
+
+
+def test_batches_are_bounded(spark, tmp_path, monkeypatch):
+    """No pass over the texts sends more than a piece to Python at once, by rows or by bytes."""
+    log, slice_up = str(tmp_path / "batches"), J.pieces
+
+    def spy(batches):
+        for b in batches:
+            with open(log, "a") as f:
+                f.write(f"{b.num_rows} {sum(len(t) for c in b.columns for t in c.to_pylist() if isinstance(t, str))}\n")
+            yield from slice_up([b])
+
+    monkeypatch.setattr(J, "pieces", spy)
+    names = [f"spark.sql.execution.arrow.max{kind}PerBatch" for kind in ("Records", "Bytes")]
+    before = [spark.conf.get(k, None) for k in names]
+    # every text twice, so that all three passes have rows
+    short = [prose(k % 700, 30) + f" {k % 700}" for k in range(1400)]
+    long = [f"{k % 6} " + "word " * (4 << 18) for k in range(12)]
+    docs = spark.createDataFrame(list(enumerate(short + long)), "doc_id long, text string").coalesce(1)
+    assert J.deduplicate(docs).count() == 706
+    assert [spark.conf.get(k, None) for k in names] == before
+    got = [tuple(map(int, line.split())) for line in open(log)]
+    assert sum(n for n, _ in got) >= 2 * 1412
+    assert max(n for n, _ in got) <= J.PIECE
+    assert max(size for _, size in got) <= J.PIECE_BYTES + (6 << 20)
